@@ -72,12 +72,16 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOW = np.array([(1 << (8 * i)) - 1 for i in range(8)] + [0xFFFFFFFFFFFFFFFF], dtype=np.uint64)
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of the words (runs of bytes but ASCII white space) and each row's first word, one more at the end."""
+#: Bytes that aren't part of a word of letters and digits; all bytes beyond ASCII are.
+SIGNS = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of the words (runs of bytes but those of ``between``) and each row's first word, one more at the end."""
     if not len(data):
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(offsets), np.int64)
-    sp = SPACE[data]
+    sp = between[data]
     before = np.empty(len(data), bool)
     before[0] = True
     before[1:] = sp[:-1]

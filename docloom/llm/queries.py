@@ -6,14 +6,19 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docloom.llm import exact_dedup, langid, mixing, sentencepiece_codec, simhash
+from docloom.llm import chat_parts, exact_dedup, fm_index, langid, license_scan, merkle, mixing, sentencepiece_codec, simhash, warc
 from docloom.llm.common import table
 
 #: Where the public vocabularies are; the files themselves are no part of this repository.
 TOKENIZERS = os.environ.get("DOCLOOM_TOKENIZERS", "/opt/tokenizers")
 
 
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -26,16 +31,55 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has plain text only; a fixed rule puts attachments of each kind beside it."""
+    return chat_parts.format_conversations(chat_parts.illustrated(table(spark, sf_dir, "conversations")))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def damaged(pages: DataFrame) -> DataFrame:
+    """A second replica: of some pages a byte is another one, of some the end is lost."""
+    html, n = F.col("html"), F.length("html")
+    changed = F.concat(F.substring(html, F.lit(1), F.floor(n / 2).cast("int")), F.lit("\u0000"), F.substring(html, F.floor(n / 2).cast("int") + 2, n))
+    return pages.select("page_id", "url", F.when(F.col("page_id") % 97 == 13, changed).when(F.col("page_id") % 211 == 7, F.substring(html, F.lit(1), n - 10)).otherwise(html).alias("html"))
+
+
+def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return warc.audit(pages, damaged(pages))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_index.repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(table(spark, sf_dir, "documents"))
 
 
+OPERATORS = (
+    op1_document_fingerprints,
+    op2_language_id,
+    op3_mixing,
+    op4_sentencepiece,
+    op5_chat_formatting,
+    op6_simhash,
+    op7_warc_fixity,
+    op8_license_scan,
+    op9_substring_dedup,
+    op10_exact_dedup,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_mixing, op4_sentencepiece, op6_simhash, op10_exact_dedup)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 OP3 = f"""
@@ -54,10 +98,65 @@ c AS (
 SELECT doc_id, source, CAST(e AS INTEGER) AS epoch, CAST(n AS BIGINT) AS n_tokens FROM c, LATERAL (SELECT unnest(range(0, CAST(copies AS BIGINT))) AS e)
 """
 
+def _tree(name: str, key: str, source: str) -> str:
+    """Recursive tables of a binary tree: levels of (key, i, h) from the leaves of ``source``, and the roots."""
+    return f"""
+{name} AS (
+  SELECT {key}, i, h, n FROM (SELECT {key}, i, h, count(*) OVER (PARTITION BY {key}) AS n FROM {source})
+  UNION ALL
+  SELECT {key}, i // 2, CASE WHEN count(*) = 2 THEN sha256('n' || string_agg(h, '' ORDER BY i)) ELSE min(h) END, (n + 1) // 2
+  FROM {name} WHERE n > 1 GROUP BY {key}, i // 2, n)"""
+
+
+OP1 = f"""
+WITH RECURSIVE sections AS (SELECT doc_id, unnest(l) AS s, unnest(range(len(l))) AS si FROM (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
+paragraphs AS (SELECT doc_id, si, sha256('p' || unnest(l)) AS h, unnest(range(len(l))) AS i FROM (SELECT doc_id, si, string_split(s, chr(10)) AS l FROM sections)),
+{_tree("t1", "doc_id, si", "paragraphs")},
+roots AS (SELECT doc_id, si AS i, sha256('s' || h) AS h FROM t1 WHERE n = 1),
+{_tree("t2", "doc_id", "roots")},
+counts AS (SELECT doc_id, count(DISTINCT si) AS s, count(*) AS p FROM paragraphs GROUP BY doc_id)
+SELECT doc_id, CASE WHEN h IS NOT NULL THEN sha256('d' || h) END AS root, CAST(coalesce(s, 0) AS INTEGER) AS n_sections, CAST(coalesce(p, 0) AS INTEGER) AS n_paragraphs
+FROM (SELECT doc_id FROM documents) LEFT JOIN (SELECT doc_id, h FROM t2 WHERE n = 1) USING (doc_id) LEFT JOIN counts USING (doc_id)
+"""
+
+OP5 = """
+WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, conv_id || '/' || turn AS name FROM conversations),
+p AS (
+  SELECT conv_id, turn, role, 0 AS pos, 'image' AS kind, 'img/' || name || '.png' AS ref, ((224 + 28 * (n % 10) + 27) // 28) * ((224 + n % 100 + 27) // 28) + 2 AS tokens, '' AS text FROM t WHERE n % 3 = 0
+  UNION ALL SELECT conv_id, turn, role, 1, 'text', NULL, len(regexp_extract_all(text, '[^ \t\r\n]+')), text FROM t
+  UNION ALL SELECT conv_id, turn, role, 2, 'audio', 'snd/' || name || '.wav', CAST(ceil((n % 40) / 4.0 * 25) AS BIGINT), '' FROM t WHERE n % 5 = 1
+  UNION ALL SELECT conv_id, turn, role, 3, 'document', 'doc/' || name || '.pdf', (1 + n % 9) * 256, '' FROM t WHERE n % 7 = 2),
+q AS (SELECT *, row_number() OVER (PARTITION BY conv_id, kind ORDER BY turn, role, pos) AS k FROM p),
+f AS (SELECT *, CASE WHEN kind = 'text' THEN text ELSE '<|' || kind || '_' || k || '|>' END AS body FROM q),
+m AS (
+  SELECT conv_id, turn, role, '<|' || role || '|>' || chr(10) || string_agg(body, '' ORDER BY pos) || '<|end|>' || chr(10) AS m,
+    sum(tokens) + 4 AS tokens, string_agg(kind || '_' || k || ':' || ref || ':' || tokens, ';' ORDER BY pos) FILTER (WHERE kind <> 'text') AS refs, count(*) FILTER (WHERE kind <> 'text') AS n
+  FROM f GROUP BY conv_id, turn, role)
+SELECT conv_id, CAST(count(*) AS INTEGER) AS n_turns, string_agg(m, '' ORDER BY turn, role) AS formatted, coalesce(string_agg(refs, ';' ORDER BY turn, role), '') AS attachments,
+  CAST(sum(n) AS INTEGER) AS n_attachments, CAST(sum(tokens) AS BIGINT) AS n_tokens
+FROM m GROUP BY conv_id
+"""
+
+_RECORD = """
+  SELECT page_id, page_id // 1024 AS f, 'WARC/1.1' || e || 'WARC-Type: response' || e || 'WARC-Record-ID: <urn:page:' || page_id || '>' || e || 'WARC-Target-URI: ' || coalesce(url, '') || e
+    || 'Content-Type: text/html' || e || 'Content-Length: ' || strlen(coalesce(html, '')) || e || e || coalesce(html, '') || e || e AS rec
+  FROM {source}, (SELECT chr(13) || chr(10) AS e)"""
+_PLACED = "SELECT page_id, f, sha256(rec) AS digest, sum(strlen(rec)) OVER (PARTITION BY f ORDER BY page_id) AS y, strlen(rec) AS n FROM ({})"
+
+OP7 = f"""
+WITH damaged AS (
+  SELECT page_id, url, CASE WHEN page_id % 97 = 13 THEN substr(html, 1, length(html) // 2) || chr(0) || substr(html, length(html) // 2 + 2)
+    WHEN page_id % 211 = 7 THEN substr(html, 1, length(html) - 10) ELSE html END AS html FROM pages),
+a AS ({_PLACED.format(_RECORD.format(source="pages"))}),
+b AS ({_PLACED.format(_RECORD.format(source="damaged"))})
+SELECT a.f AS warc_file, page_id, CAST(a.y - a.n AS BIGINT) AS start_offset, CAST(a.y AS BIGINT) AS end_offset, CASE WHEN a.digest <> b.digest THEN 'changed' ELSE 'moved' END AS state
+FROM a JOIN b USING (page_id) WHERE a.digest <> b.digest OR a.y <> b.y OR a.n <> b.n
+"""
+
 OP10 = """
 SELECT doc_id, keep_doc_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS keep_doc_id FROM documents) WHERE doc_id <> keep_doc_id
 """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3, "op10_exact_dedup": OP10}
+    return {"op1_document_fingerprints": OP1, "op3_mixing": OP3, "op5_chat_formatting": OP5, "op7_warc_fixity": OP7, "op10_exact_dedup": OP10}
