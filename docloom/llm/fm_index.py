@@ -85,23 +85,34 @@ class WaveletMatrix:
 
 
 def suffix_order(text: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The suffix array, and for each power of two the suffixes' ranks by so many symbols; by prefix doubling."""
+    """The suffix array, and for each power of two the suffixes' ranks by so many symbols; by prefix doubling.
+
+    A rank is the place of the first suffix of its group, and only groups of several suffixes are sorted further.
+    """
     n = len(text)
-    ranks = [np.append(text, -1).astype(np.int32)]
-    rank, h = text.astype(np.int64), 1
-    order = np.argsort(rank, kind="stable")
-    while True:
-        second = np.zeros(n, np.int64)
-        second[: max(n - h, 0)] = rank[h:] + 1
-        key = rank * (int(rank.max()) + 2) + second if n else rank
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        new = np.zeros(n, np.int64)
-        new[order] = np.concatenate([[0], np.cumsum(k[1:] != k[:-1])])
-        rank, h = new, 2 * h
-        if not n or rank.max() == n - 1:
-            return order, ranks
-        ranks.append(np.append(rank, -1).astype(np.int32))
+    order = np.argsort(text)
+    spot = np.arange(n)
+    rank = np.zeros(n + 1, np.int64)
+    rank[n] = -1
+    key, h = text[order], 1
+    ranks: list[np.ndarray] = []
+    while n:
+        new = np.append(True, key[1:] != key[:-1])
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(key)))
+        rank[order[spot]] = np.repeat(spot[first], size)
+        several = np.repeat(size > 1, size)
+        ranks.append(rank.astype(np.int32))
+        spot = spot[several]
+        if not len(spot):
+            break
+        mine = order[spot]
+        key = rank[mine] * (n + 2) + rank[np.minimum(mine + h, n)] + 1
+        sorted_ = np.argsort(key)
+        order[spot] = mine[sorted_]
+        key = key[sorted_]
+        h *= 2
+    return order, ranks
 
 
 def common_prefixes(order: np.ndarray, ranks: list[np.ndarray]) -> np.ndarray:
@@ -115,21 +126,31 @@ def common_prefixes(order: np.ndarray, ranks: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([[0], length, [0]]) if n else np.zeros(1, np.int64)
 
 
-def smaller(values: np.ndarray) -> np.ndarray:
-    """For each entry the nearest earlier one that is smaller, or 0; by pointer jumping."""
-    at = np.maximum(np.arange(len(values)) - 1, 0)
-    todo = np.flatnonzero((values[at] >= values) & (at > 0))
-    while len(todo):
-        at[todo] = at[at[todo]]
-        todo = todo[(values[at[todo]] >= values[todo]) & (at[todo] > 0)]
-    return at
+def smaller(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry the nearest earlier and the nearest later one that is smaller, or the first and the last place; by descent over minima of powers of two."""
+    n = len(values)
+    minima = [values.astype(np.int32)]
+    while 2 << len(minima) <= 2 * n:
+        half = 1 << (len(minima) - 1)
+        if 2 * half > n:
+            break
+        minima.append(np.minimum(minima[-1][:-half], minima[-1][half:]))
+    v = minima[0]
+    left, right = np.arange(n), np.arange(1, n + 1)
+    for k in range(len(minima) - 1, -1, -1):
+        low, step = minima[k], 1 << k
+        at = left - step
+        left = np.where((at >= 0) & (low[np.maximum(at, 0)] >= v), at, left)
+        ok = right + step <= n
+        right = np.where(ok & (low[np.minimum(right, len(low) - 1)] >= v), right + step, right)
+    return np.maximum(left - 1, 0), np.minimum(right, n - 1)
 
 
 class FmIndex:
     """The words of a shard's pieces, with the document of each piece."""
 
-    def __init__(self, words: np.ndarray, first: np.ndarray, docs: np.ndarray) -> None:
-        """words: hashes of all pieces' words; first: each piece's first word and the end; docs: each piece's document."""
+    def __init__(self, words: np.ndarray, first: np.ndarray, docs: np.ndarray, common: np.ndarray | None = None) -> None:
+        """words: hashes of all pieces' words; first: each piece's first word and the end; docs: each piece's document; common: which pieces stand for several documents, so that they are another one for each."""
         self.vocabulary, ids = np.unique(words, return_inverse=True)
         pieces, sigma = len(first) - 1, len(self.vocabulary)
         # Each piece ends with a symbol of its own, which no search can cross.
@@ -144,13 +165,14 @@ class FmIndex:
         order, ranks = suffix_order(text)
         self.n = n
         self.names, dense = np.unique(docs, return_inverse=True)
+        if common is not None:
+            dense = np.where(common, len(self.names) + np.arange(pieces), dense)
         self.doc = np.repeat(dense, np.diff(first) + 1)[order].astype(np.int64)
         change = np.append(np.flatnonzero(self.doc[1:] != self.doc[:-1]) + 1, n)
         self.other = change[np.searchsorted(change, np.arange(n), "right")] if n else change
         self.lcp = common_prefixes(order, ranks)
         del ranks
-        self.left = smaller(self.lcp)
-        self.right = n - smaller(self.lcp[::-1])[::-1]
+        self.left, self.right = smaller(self.lcp)
         self.matrix = WaveletMatrix(text[order - 1], alphabet)
         self.start = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=alphabet))])
 
@@ -324,11 +346,34 @@ def _search(least: int):
 
         def build() -> Iterator[pa.RecordBatch]:
             nonlocal index, held
-            words, first, docs, start = load(pa.Table.from_batches(held))
+            t, full = pa.Table.from_batches(held), held
             held = []
-            index = FmIndex(words, first, docs) if len(np.unique(docs)) > 0 else None
-            if (out := found(index, words, first, docs, start)) is not None:
-                yield out
+            # A piece that several documents have is a match as a whole; it is indexed once and not searched.
+            text, docs = t.column("_text").combine_chunks().dictionary_encode(), t.column("_d").to_numpy()
+            code = text.indices.to_numpy()
+            n = len(text.dictionary)
+            low, high = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
+            np.minimum.at(low, code, docs)
+            np.maximum.at(high, code, docs)
+            shared = (low != high)[code]
+            once = np.zeros(len(code), bool)
+            once[np.unique(code, return_index=True)[1]] = True
+            keep = ~shared | once
+            t, common = t.filter(pa.array(keep)), shared[keep]
+            words, first, docs_, start = load(t)
+            size = np.zeros(n, np.int64)
+            size[code[keep]] = np.diff(first)
+            whole = np.flatnonzero(shared & (size[code] >= least))
+            if len(whole):
+                begin = np.concatenate([b.column("_start").to_numpy() for b in full]).astype(np.int64)[whole]
+                yield pa.RecordBatch.from_arrays([pa.array(docs[whole]), pa.array(begin.astype(np.int32)), pa.array((begin + size[code[whole]]).astype(np.int32))], ["_d", "_from", "_to"])
+            index = FmIndex(words, first, docs_, common)
+            alone = np.flatnonzero(~common)
+            if len(alone):
+                parts = [words[first[i] : first[i + 1]] for i in alone]
+                edges = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+                if (out := found(index, np.concatenate(parts), edges, docs_[alone], start[alone])) is not None:
+                    yield out
 
         for batch in batches:
             if not batch.num_rows:
