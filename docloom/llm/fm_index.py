@@ -2,16 +2,17 @@
 
 FmIndex holds a shard's words: the Burrows-Wheeler transform in a wavelet matrix (bit planes with rank counts), the longest
 common prefixes of neighbouring suffixes with their previous and next smaller values (the parent operation), and the document
-of each suffix. Streamed texts are searched backward, thousands of segments in step with each other: a match is extended
+of each suffix. Streamed texts are searched backward, thousands of windows in step with each other: a match is extended
 to the left as long as it occurs in another document; when it no longer does, it is cut from the right to the parent's
 length. These are the matching statistics; stretches of at least MIN_WORDS are reported.
 
 Which text meets which shard: of each MIN_WORDS - GRAM + 1 consecutive word GRAM-grams the smallest hash is an anchor
-(winnowing), so every match of MIN_WORDS holds an anchor that both texts have. Text away from anchors that two documents
-share can't be part of a match and is left out; what remains are pieces. A piece is indexed in the shard that its
-smallest shared anchor names, and searched in every shard in which one of its shared anchors is indexed. The number
-of shards follows from the amount of text, so that none is larger than SHARD_WORDS words on average; a shard that is much larger, for a
-passage that very many documents share, is split by documents. The result is exact.
+(winnowing), so every match of MIN_WORDS holds an anchor that both texts have. Around an anchor lies a window, as far as
+a match can reach before its next anchor; every match lies in the windows of its anchors, and what a window holds of it is
+never shorter than MIN_WORDS. Windows of one anchor meet in the anchor's shard. Anchors of one document alone are
+left out. Windows that agree in several documents as a whole (told by 128 bits of hashes) are results without a
+search and are indexed once, if others differ. The number of shards follows from the amount of text; a shard
+that is much larger than SHARD_WORDS, for an anchor that very many documents have, is split by documents and searched with all its windows in each part. The result is exact.
 
 Words are runs of anything but white space, compared as they are. A result is a run of words each of which is part of a
 stretch of MIN_WORDS words that another document has too.
@@ -29,13 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import INF, U64, cut, join_checked, room, row_of, shingles, slices, text_of, word_hashes, word_spans
+from docloom.llm.common import INF, K1, U64, cut, join_checked, mix, room, row_of, shingles, slices, text_of, word_hashes, word_spans
 
 MIN_WORDS = 50
-GRAM = 10
+GRAM = 25
 SHARD_WORDS = 1 << 20
-#: Words of a segment that is searched on its own; segments of a piece overlap by MIN_WORDS.
-SEGMENT = 512
 
 
 class RankBits:
@@ -188,9 +187,9 @@ class FmIndex:
         return np.where(self.names[at] == names, at, -1)
 
     def matches(self, symbols: np.ndarray, begin: np.ndarray, end: np.ndarray, doc: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each segment symbols[begin:end] of document doc: the maximal matches of at least ``least`` words in other documents.
+        """Of each window symbols[begin:end] of document doc: the maximal matches of at least ``least`` words in other documents.
 
-        Gives the segments' numbers, and the matches' first and behind-last positions in symbols.
+        Gives the windows' numbers, and the matches' first and behind-last positions in symbols.
         """
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         live = np.flatnonzero(end > begin)
@@ -264,62 +263,71 @@ def anchors(words: np.ndarray, first: np.ndarray, least: int = MIN_WORDS, gram:
     return row[at], at - first[row[at]], h[at]
 
 
-def _anchors(least: int, gram: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_of(batch.column("_t"))
-            for a, b in slices(offsets):
-                d = data[offsets[a] : offsets[b]]
-                starts, ends, first = word_spans(d, offsets[a : b + 1] - offsets[a])
-                row, pos, h = anchors(word_hashes(d, starts, ends), first, least, gram)
-                yield pa.RecordBatch.from_arrays([batch.column("_d").take(pa.array(row + a)), pa.array(pos.astype(np.int32)), pa.array(h.view(np.int64))], ["_d", "_pos", "_anchor"])
-
-    return run
+def window_hashes(words: np.ndarray, first: np.ndarray, row: np.ndarray, pos: np.ndarray, reach: int, gram: int) -> np.ndarray:
+    """Of each anchor a hash of its window's words and of where it lies in it; by differences of polynomial sums."""
+    n = len(words)
+    power = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, K1))])
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * power[:n], dtype=np.uint64)])
+    size = np.diff(first)[row]
+    a, b = np.maximum(pos - reach, 0), np.minimum(pos + gram + reach, size)
+    x, y = first[row] + a, first[row] + b
+    return mix((sums[y] - sums[x]) * power[n - x] + mix(((b - a) * 4096 + pos - a).astype(np.uint64)))
 
 
-def _pieces(least: int, gram: int):
-    """Cuts texts around their shared anchors: all that a match with such an anchor can reach before the next one must come."""
+def _anchors(least: int, gram: int):
     reach = least - gram + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, start, size, texts, lists = [], [], [], [], []
             data, offsets = text_of(batch.column("_t"))
-            docs = batch.column("_d").to_pylist()
-            for i, found in enumerate(batch.column("_shared").to_pylist()):
-                d = data[offsets[i] : offsets[i + 1]]
-                starts, ends, _ = word_spans(d, np.array([0, len(d)]))
-                pos = np.array([x["_pos"] for x in found], np.int64)
-                hashes = np.array([x["_anchor"] for x in found], np.int64)
-                a, b = np.maximum(pos - reach, 0), np.minimum(pos + gram + reach, len(starts))
-                new = np.flatnonzero(np.append(True, a[1:] > np.maximum.accumulate(b)[:-1]))
-                for s, e in zip(new, np.append(new[1:], len(pos))):
-                    doc.append(docs[i])
-                    start.append(int(a[s]))
-                    size.append(int(b[e - 1] - a[s]))
-                    texts.append(bytes(d[starts[a[s]] : ends[b[e - 1] - 1]]))
-                    lists.append(np.unique(hashes[s:e]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(size, pa.int32()), pa.array(texts, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], ["_d", "_start", "_words", "_text", "_anchors"]
-            )
+            for a, b in slices(offsets):
+                d = data[offsets[a] : offsets[b]]
+                starts, ends, first = word_spans(d, offsets[a : b + 1] - offsets[a])
+                words = word_hashes(d, starts, ends)
+                row, pos, h = anchors(words, first, least, gram)
+                win = window_hashes(words, first, row, pos, reach, gram)
+                size = np.diff(first)[row]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("_d").take(pa.array(row + a)), pa.array(np.maximum(pos - reach, 0).astype(np.int32)), pa.array(np.minimum(pos + gram + reach, size).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(win.view(np.int64))],
+                    ["_d", "_from", "_to", "_anchor", "_win"],
+                )
 
     return run
 
 
-def segments(first: np.ndarray, least: int, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Overlapping parts of the pieces, of about the same length: piece, begin, end. Each match of ``least`` words lies in one."""
-    size = np.diff(first)
-    count = np.maximum(1, -(-(size - least) // segment))
-    piece = np.repeat(np.arange(len(size)), count)
-    k = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count)
-    begin = first[piece] + k * segment
-    return piece, begin, np.minimum(begin + segment + least, first[piece + 1])
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cuts the windows out of the texts."""
+    for batch in batches:
+        data, offsets = text_of(batch.column("_t"))
+        docs, spans = batch.column("_d"), batch.column("_spans")
+        flat, ends_of = spans.flatten(), np.concatenate([[0], np.cumsum(spans.value_lengths().to_numpy())])
+        x, y = (flat.field(c).to_numpy() for c in ("_from", "_to"))
+        texts: list[bytes] = []
+        for i in range(batch.num_rows):
+            d = data[offsets[i] : offsets[i + 1]]
+            starts, ends, _ = word_spans(d, np.array([0, len(d)]))
+            raw, at = d.tobytes(), slice(ends_of[i], ends_of[i + 1])
+            texts += [raw[p:q] for p, q in zip(starts[x[at]].tolist(), ends[y[at] - 1].tolist())]
+        owner = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(ends_of)))
+        yield pa.RecordBatch.from_arrays([docs.take(owner), pa.array(x), *(flat.field(c) for c in ("_anchor", "_common")), pa.array(texts, pa.binary())], ["_d", "_from", "_anchor", "_common", "_text"])
+
+
+def _runs(docs: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    """Intervals of documents, those that overlap or touch as one."""
+    order = np.lexsort((x, docs))
+    names, d = np.unique(docs[order], return_inverse=True)
+    # Documents after each other on one line, so that one running maximum does for all.
+    shift = d * (np.int64(1) << 32)
+    a, b = x[order] + shift, y[order] + shift
+    top = np.maximum.accumulate(b)
+    new = np.flatnonzero(np.append(True, a[1:] > top[:-1]))
+    last = np.append(new[1:], len(a)) - 1
+    return pa.RecordBatch.from_arrays([pa.array(names[d[new]]), pa.array((a[new] - shift[new]).astype(np.int32)), pa.array((top[last] - shift[new]).astype(np.int32))], ["_d", "_from", "_to"])
 
 
 def _search(least: int):
-    def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-        data = np.frombuffer(b"".join(texts), np.uint8)
+    def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        data, offsets = text_of(texts)
         words, counts = [], [np.zeros(1, np.int64)]
         for a, b in slices(offsets):
             d = data[offsets[a] : offsets[b]]
@@ -328,57 +336,33 @@ def _search(least: int):
             counts.append(np.diff(first))
         return np.concatenate(words) if words else np.zeros(0, np.uint64), np.cumsum(np.concatenate(counts))
 
-    def found(index: FmIndex, words: np.ndarray, first: np.ndarray, docs: np.ndarray, start: np.ndarray) -> pa.RecordBatch | None:
-        piece, begin, end = segments(first, least)
-        s, x, y = index.matches(index.number(words), begin, end, index.document(docs)[piece], least)
+    def search(index: FmIndex, words: np.ndarray, first: np.ndarray, docs: np.ndarray, start: np.ndarray, which: np.ndarray) -> pa.RecordBatch | None:
+        s, x, y = index.matches(index.number(words), first[:-1][which], first[1:][which], index.document(docs[which]), least)
         if not len(s):
             return None
-        p = piece[s]
+        p = which[s]
         shift = start[p] - first[p]
-        rows = np.unique(np.stack([docs[p], x + shift, y + shift]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1].astype(np.int32)), pa.array(rows[2].astype(np.int32))], ["_d", "_from", "_to"])
+        return _runs(docs[p], x + shift, y + shift)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held, index = None, [], None
 
-        def load(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-            return *words_of(t.column("_text").to_pylist()), t.column("_d").to_numpy(), t.column("_start").to_numpy().astype(np.int64)
+        def load(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
+            t = pa.Table.from_batches(parts)
+            return *words_of(t.column("_text")), t.column("_d").to_numpy(), t.column("_from").to_numpy().astype(np.int64), t.column("_common").to_numpy()
 
         def build() -> Iterator[pa.RecordBatch]:
             nonlocal index, held
-            t, full = pa.Table.from_batches(held), held
+            words, first, docs, start, common = load(held)
             held = []
-            # A piece that several documents have is a match as a whole; it is indexed once and not searched.
-            text, docs = t.column("_text").combine_chunks().dictionary_encode(), t.column("_d").to_numpy()
-            code = text.indices.to_numpy()
-            n = len(text.dictionary)
-            low, high = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
-            np.minimum.at(low, code, docs)
-            np.maximum.at(high, code, docs)
-            shared = (low != high)[code]
-            once = np.zeros(len(code), bool)
-            once[np.unique(code, return_index=True)[1]] = True
-            keep = ~shared | once
-            t, common = t.filter(pa.array(keep)), shared[keep]
-            words, first, docs_, start = load(t)
-            size = np.zeros(n, np.int64)
-            size[code[keep]] = np.diff(first)
-            whole = np.flatnonzero(shared & (size[code] >= least))
-            if len(whole):
-                begin = np.concatenate([b.column("_start").to_numpy() for b in full]).astype(np.int64)[whole]
-                yield pa.RecordBatch.from_arrays([pa.array(docs[whole]), pa.array(begin.astype(np.int32)), pa.array((begin + size[code[whole]]).astype(np.int32))], ["_d", "_from", "_to"])
-            index = FmIndex(words, first, docs_, common)
-            alone = np.flatnonzero(~common)
-            if len(alone):
-                parts = [words[first[i] : first[i + 1]] for i in alone]
-                edges = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
-                if (out := found(index, np.concatenate(parts), edges, docs_[alone], start[alone])) is not None:
-                    yield out
+            index = FmIndex(words, first, docs, common)
+            if (out := search(index, words, first, docs, start, np.flatnonzero(~common))) is not None:
+                yield out
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("_shard", "_sub", "_guest")])
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("_shard", "_part", "_guest")])
             edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1), batch.num_rows]
             for a, b in zip(edges, edges[1:]):
                 here, guest = tuple(keys[:2, a]), keys[2, a]
@@ -391,8 +375,10 @@ def _search(least: int):
                     continue
                 if held:
                     yield from build()
-                if index is not None and (out := found(index, *load(pa.Table.from_batches([batch.slice(a, b - a)])))) is not None:
-                    yield out
+                if index is not None:
+                    words, first, docs, start, _ = load([batch.slice(a, b - a)])
+                    if (out := search(index, words, first, docs, start, np.arange(len(docs)))) is not None:
+                        yield out
         if held:
             yield from build()
 
@@ -403,27 +389,33 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     """The runs of words that other documents have too: doc_id, start_word, end_word (behind the last), n_words."""
     names = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
     texts = names.withColumn("_d", F.xxhash64("_id", "_t")).select("_id", "_d", "_t")
-    marks = cut(texts.select("_d", "_t").mapInArrow(_anchors(least, gram), "_d bigint, _pos int, _anchor bigint"))
-    shared = marks.groupBy("_anchor").agg(F.min("_d").alias("_a"), F.max("_d").alias("_b")).where("_a <> _b").select("_anchor")
-    placed = marks.join(shared, "_anchor", "left_semi").groupBy("_d").agg(F.sort_array(F.collect_set(F.struct("_pos", "_anchor"))).alias("_shared"))
-    placed = cut(placed)
-    cutting = join_checked(texts, placed, "_d", "inner", placed.count()).select("_d", "_t", "_shared")
-    pieces = cut(cutting.mapInArrow(_pieces(least, gram), "_d bigint, _start int, _words int, _text binary, _anchors array<bigint>").withColumn("_p", F.xxhash64("_d", "_start")))
-    total = pieces.agg(F.sum("_words")).first()[0] or 0
-    home = pieces.withColumn("_shard", F.pmod(F.xxhash64(F.array_min("_anchors")), F.lit(max(1, -(-total // shard_words)))).cast("int"))
-    parts = cut(home.groupBy("_shard").agg(F.ceil(F.sum("_words") / (2 * shard_words)).cast("int").alias("_parts")).where("_parts > 1"))
-    home = join_checked(home, parts, "_shard", "left", parts.count()).withColumn("_sub", F.pmod("_d", F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
-    at = home.select("_p", "_shard", "_sub", F.explode("_anchors").alias("_anchor"))
-    where = at.select("_anchor", F.col("_shard").alias("_s"), F.col("_sub").alias("_u")).distinct()
-    routes = at.join(where, "_anchor").where("_s <> _shard or _u <> _sub").select("_p", F.col("_s").alias("_gs"), F.col("_u").alias("_gu")).distinct()
-    cols = ["_shard", "_sub", "_guest", "_d", "_start", "_text"]
-    guests = pieces.join(routes, "_p").select(F.col("_gs").alias("_shard"), F.col("_gu").alias("_sub"), F.lit(1).alias("_guest"), "_d", "_start", "_text")
-    rows = home.select("_shard", "_sub", F.lit(0).alias("_guest"), "_d", "_start", "_text").unionByName(guests).select(cols)
-    rows = rows.repartition("_shard", "_sub").sortWithinPartitions("_shard", "_sub", "_guest")
-    hits = rows.mapInArrow(_search(least), "_d bigint, _from int, _to int")
+    marks = texts.select("_d", "_t").mapInArrow(_anchors(least, gram), "_d bigint, _from int, _to int, _anchor bigint, _win bigint").repartition("_anchor")
+    same, meet = Window.partitionBy("_anchor", "_win"), Window.partitionBy("_anchor")
+    marks = marks.withColumn("_same", F.min("_d").over(same) != F.max("_d").over(same)).withColumn("_n", F.row_number().over(same.orderBy("_d", "_from")))
+    marks = marks.withColumn("_meet", F.min("_d").over(meet) != F.max("_d").over(meet)).withColumn("_open", F.max(~F.col("_same")).over(meet))
+    marks = cut(marks.where("_meet").select("_d", "_from", "_to", "_anchor", "_same", (~F.col("_same") | ((F.col("_n") == 1) & F.col("_open"))).alias("_cut")))
+    done = marks.where("_same").select("_d", "_from", "_to")
+    spans = marks.where("_cut")
+    total, n_spans = spans.agg(F.sum(F.col("_to") - F.col("_from")), F.count("*")).first()
+    placed = spans.groupBy("_d").agg(F.collect_list(F.struct("_from", "_to", "_anchor", F.col("_same").alias("_common"))).alias("_spans"))
+    wanted = spans.select(F.col("_d").alias("_w")).distinct()
+    # Of the texts without windows nothing is moved, as long as the list of those with windows is short.
+    some = join_checked(texts.select("_d", "_t"), wanted, F.col("_d") == F.col("_w"), "left_semi", n_spans).dropDuplicates(["_d"])
+    windows = some.join(placed, "_d").select("_d", "_t", "_spans").mapInArrow(_windows, "_d bigint, _from int, _anchor bigint, _common boolean, _text binary")
+    shard = F.pmod(F.xxhash64("_anchor"), F.lit(max(1, -(-(total or 0) // shard_words)))).cast("int")
+    parts = cut(spans.groupBy(shard.alias("_shard")).agg(F.ceil(F.sum(F.col("_to") - F.col("_from")) / (2 * shard_words)).cast("int").alias("_parts")).where("_parts > 1"))
+    windows = windows.withColumn("_shard", shard)
+    if n_parts := parts.count():
+        windows = join_checked(windows, parts, "_shard", "left", n_parts)
+        own = F.pmod("_d", F.coalesce("_parts", F.lit(1))).cast("int")
+        windows = windows.withColumn("_own", own).withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).where("_part = _own or not _common").withColumn("_guest", (F.col("_part") != F.col("_own")).cast("int"))
+    else:
+        windows = windows.withColumn("_part", F.lit(0)).withColumn("_guest", F.lit(0))
+    rows = windows.select("_shard", "_part", "_guest", "_d", "_from", "_common", "_text").repartition("_shard", "_part").sortWithinPartitions("_shard", "_part", "_guest")
+    hits = rows.mapInArrow(_search(least), "_d bigint, _from int, _to int").unionByName(done)
     w = Window.partitionBy("_d").orderBy("_from", "_to")
     runs = hits.withColumn("_new", (F.col("_from") > F.coalesce(F.max("_to").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int"))
     runs = runs.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy("_d", "_run").agg(F.min("_from").alias("_from"), F.max("_to").alias("_to"))
-    ids = cut(runs)
-    named = join_checked(names.select("_id", F.xxhash64("_id", "_t").alias("_nd")).distinct(), ids, F.col("_nd") == F.col("_d"), "inner", ids.count())
-    return named.select(F.col("_id").alias("doc_id"), F.col("_from").alias("start_word"), F.col("_to").alias("end_word"), (F.col("_to") - F.col("_from")).alias("n_words"))
+    runs = cut(runs)
+    named = join_checked(names.select("_id", F.xxhash64("_id", "_t").alias("_nd")), runs, F.col("_nd") == F.col("_d"), "inner", runs.count())
+    return named.select(F.col("_id").alias("doc_id"), F.col("_from").alias("start_word"), F.col("_to").alias("end_word"), (F.col("_to") - F.col("_from")).alias("n_words")).distinct()
