@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from docloom.llm.common import K1, K2, U64, reduce_rows, slices, text_of
 
@@ -106,12 +107,16 @@ def score(data: np.ndarray, offsets: np.ndarray, matrix: np.ndarray) -> tuple[np
     return sums, count
 
 
-def _classify(spread, min_posterior: float):
+def _classify(spread, min_posterior: float, text_col: str):
+    def text(batch: pa.RecordBatch) -> pa.Array:
+        whole = batch.column("_d").field(text_col) if "_d" in batch.schema.names else batch.column("_t")
+        return pc.utf8_lower(whole.cast(pa.string()).fill_null(""))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, columns = spread.value
         names = np.array([*langs, "und"], dtype=object)
         for batch in batches:
-            data, offsets = text_of(pc.utf8_lower(batch.column("_t").fill_null("")))
+            data, offsets = text_of(text(batch))
             best, prob = [], []
             for a, b in slices(offsets):
                 s, n = score(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], columns)
@@ -130,11 +135,11 @@ def _classify(spread, min_posterior: float):
     return run
 
 
-def classify(texts: DataFrame, model: tuple[list[str], np.ndarray], min_posterior: float = MIN_POSTERIOR) -> DataFrame:
-    """texts (column _t and any others) with _lang and _posterior in place of _t."""
-    spread = texts.sparkSession.sparkContext.broadcast((model[0], np.asfortranarray(model[1])))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema if f.name != "_t")
-    return texts.mapInArrow(_classify(spread, min_posterior), f"{schema}, _lang string, _posterior double")
+def classify(rows: DataFrame, model: tuple[list[str], np.ndarray], min_posterior: float = MIN_POSTERIOR, text_col: str = "text") -> DataFrame:
+    """rows with _lang and _posterior. The text is a column _t, which goes, or the field text_col of a column _d, which stays."""
+    spread = rows.sparkSession.sparkContext.broadcast((model[0], np.asfortranarray(model[1])))
+    schema = StructType([f for f in rows.schema if f.name != "_t"]).add("_lang", "string").add("_posterior", "double")
+    return rows.mapInArrow(_classify(spread, min_posterior, text_col), schema)
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -147,5 +152,5 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None,
 def accepted(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose language is known; all columns as they came."""
     model = model or train(docs, id_col, text_col)
-    out = classify(docs.select(F.struct("*").alias("_d"), F.col(text_col).alias("_t")), model)
+    out = classify(docs.select(F.struct("*").alias("_d")), model, text_col=text_col)
     return out.where("_lang <> 'und'").select("_d.*")

@@ -7,7 +7,7 @@ in the texts. Words are runs of letters and digits in lower case.
 
 The templates are a parameter of fixed size, whose join is a broadcast; a list of templates too long for that is shuffled.
 
-Defined cases: null and empty texts have no spans; a template that occurs twice is reported twice unless the occurrences overlap; repeated rows are
+Defined cases: null and empty texts have no spans; a template that occurs twice is reported twice unless the occurrences' diagonals lie within SLACK words of each other, which makes them one span; repeated rows are
 reported each; a template of fewer than GRAM words can't be found and is refused; other columns are ignored.
 """
 
