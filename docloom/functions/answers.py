@@ -40,7 +40,7 @@ def parse_list(raw: Column, values: Column, default: Column) -> Column:
     inner = F.regexp_extract(low, r"\$ ?(.+) ?\$", 1)
     text = F.when(inner != "", F.trim(inner)).otherwise(low)
     same = F.filter(values, lambda v: F.lower(v) == text)
-    inside = F.filter(values, lambda v: text.rlike(F.concat(F.lit(r"\b\Q"), F.lower(v), F.lit(r"\E\b"))))
+    inside = F.filter(values, lambda v: F.rlike(text, F.concat(F.lit(r"\b\Q"), F.lower(v), F.lit(r"\E\b"))))
     return _result(F.coalesce(F.try_element_at(same, F.lit(1)), F.try_element_at(inside, F.lit(1))), default)
 
 

@@ -12,8 +12,9 @@ MAP = "map<string,string>"
 
 
 def valid(s: Column) -> Column:
-    """The text if it is JSON, else null."""
-    return F.when(F.try_parse_json(s).isNotNull(), s)
+    """The text if all of it is one JSON value, else null. The parser itself would let anything follow a value, so a mark behind it must be reached."""
+    marked = F.try_parse_json(F.concat(F.lit('{"v":'), s, F.lit(',"~end":1}')))
+    return F.when(F.try_variant_get(marked, "$['~end']", "int") == 1, s)
 
 
 def unescape(s: Column) -> Column:
@@ -47,7 +48,7 @@ def repair_objects(s: Column) -> Column:
         x = F.when(x.endswith("}"), x).otherwise(F.concat(x, F.lit("}")))
         return F.regexp_replace(x, r",\s*\}$", "}")
 
-    return F.filter(F.transform(F.split(body, r"\}\s*,\s*(?=\{)"), one), lambda x: F.try_parse_json(x).isNotNull())
+    return F.filter(F.transform(F.split(body, r"\}\s*,\s*(?=\{)"), one), lambda x: valid(x).isNotNull())
 
 
 def items(array: Column) -> Column:
