@@ -165,7 +165,7 @@ def _raw_truth(item: Item) -> Column:
     from docloom.functions.answers import to_raw
 
     def one(t: Column) -> Column:
-        meta = [F.coalesce(F.try_element_at(F.transform(F.filter(t["meta"], lambda m, i=m_.id: m["class_id"] == i), lambda m: m["class_value"]), F.lit(1)), F.lit("n/a")) for m_ in item.meta]
+        meta = [F.coalesce(F.try_element_at(F.transform(F.filter(t["meta"], lambda m: m["class_id"] == m_.id), lambda m: m["class_value"]), F.lit(1)), F.lit("n/a")) for m_ in item.meta]
         keys = [F.lit(P.MAIN), *(F.lit(m.id) for m in item.meta)]
         values = [to_raw(F.lit(item.type), t["class_value"]), *(to_raw(F.lit(m.type), v) for m, v in zip(item.meta, meta))]
         return F.map_from_arrays(F.array(*keys), F.array(*values))

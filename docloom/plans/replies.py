@@ -46,7 +46,7 @@ def answers(replies: DataFrame, item: Item, elements: DataFrame | None = None) -
     known = {m.id: m for m in item.meta}
     meta = []
     for m in known.values():
-        raw = last_of(lambda e, m=m: (e["key"] == m.id) & ~e["key"].contains(MAIN))
+        raw = last_of(lambda e: (e["key"] == m.id) & ~e["key"].contains(MAIN))
         v = _typed(m, raw)
         meta.append(F.when(raw.isNotNull(), F.struct(F.lit(m.id).alias("class_id"), v["value"].alias("class_value"), F.when(v["ok"], 0.8).otherwise(0.0).alias("prob"))))
     rows = rows.withColumn("meta", F.filter(F.array(*meta), lambda m: m.isNotNull()) if meta else F.array().cast("array<struct<class_id:string,class_value:string,prob:double>>"))
