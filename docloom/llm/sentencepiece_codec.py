@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Parts that a process remembers, twice over: when so many new ones were met, those not met since the last time are forgotten.
-REMEMBER = 1 << 19
+REMEMBER = 1 << 16
+#: Characters of a text that are split into parts at a time, so that a very long text's parts are never all in memory.
+STRETCH = 1 << 16
 
 
 def tables(model: bytes) -> dict:
@@ -198,17 +200,31 @@ class Codec:
             return []
         out: list[int] = []
         get = self.parts.get
-        for part in self.split(SPACE + text.replace(" ", SPACE)):
-            known = get(part)
-            if known is None:
-                known = self.encode_part(part)
-                get = self.parts.get
-            out += known
+        for stretch in self.stretches(SPACE + text.replace(" ", SPACE)):
+            for part in self.split(stretch):
+                known = get(part)
+                if known is None:
+                    known = self.encode_part(part)
+                    get = self.parts.get
+                out += known
         return out
 
+    def stretches(self, text: str) -> Iterator[str]:
+        """The text in stretches of about STRETCH characters that begin with the first of several blanks, as parts do."""
+        at = 0
+        while len(text) - at > STRETCH:
+            end = text.find(SPACE, at + STRETCH)
+            while end > 0 and text[end - 1] == SPACE:
+                end = text.find(SPACE, end + 1)
+            if end < 0:
+                break
+            yield text[at:end]
+            at = end
+        yield text[at:] if at else text
+
     def decode(self, ids: list[int]) -> str:
         """The text of pieces without the blank that encoding put in front."""
-        text = b"".join([self.bytes[i] for i in ids])
+        text = b"".join(map(self.bytes.__getitem__, ids))
         return (text[1:] if text[:1] == b" " else text).decode("utf-8", "replace")
 
 
