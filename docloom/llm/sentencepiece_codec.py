@@ -26,6 +26,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.common import lean
+
 SPACE = "▁"
 #: Parts that a process remembers, twice over: when so many new ones were met, those not met since the last time are forgotten.
 REMEMBER = 1 << 16
@@ -260,7 +262,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     with open(model_path, "rb") as f:
         spread = docs.sparkSession.sparkContext.broadcast(tables(f.read()))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-    return rows.mapInArrow(_encode(spread), f"doc_id {rows.schema['_id'].dataType.simpleString()}, pieces array<int>, n_pieces int, round_trip boolean")
+    return rows.mapInArrow(lean(_encode(spread)), f"doc_id {rows.schema['_id'].dataType.simpleString()}, pieces array<int>, n_pieces int, round_trip boolean")
 
 
 def _decode(spread):
@@ -278,4 +280,4 @@ def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", pieces_c
     with open(model_path, "rb") as f:
         spread = encoded.sparkSession.sparkContext.broadcast(tables(f.read()))
     rows = encoded.select(F.col(id_col).alias("_id"), F.col(pieces_col).alias("_p"))
-    return rows.mapInArrow(_decode(spread), f"doc_id {rows.schema['_id'].dataType.simpleString()}, text string")
+    return rows.mapInArrow(lean(_decode(spread)), f"doc_id {rows.schema['_id'].dataType.simpleString()}, text string")

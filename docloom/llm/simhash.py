@@ -32,6 +32,7 @@ from docloom.llm.common import (
     fixed_binary,
     join_checked,
     keep_one,
+    lean,
     mix,
     reduce_rows,
     room,
@@ -306,7 +307,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
     """Rows _id, _k, _keep, _rows, _keep_id: the members of each group of near copies, as keep_one() takes them."""
     id_type = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_k"), F.col(text_col).alias("_t"))
-    signed = cut(texts.mapInArrow(_sign, f"_id {id_type}, _k bigint, _print binary, _keys array<bigint>"))
+    signed = cut(texts.mapInArrow(lean(_sign), f"_id {id_type}, _k bigint, _print binary, _keys array<bigint>"))
     # A node is a fingerprint; two that shared this hash would only be compared with others as one.
     node = F.xxhash64("_print").alias("_node")
     nodes = signed.select(node, "_print", F.explode("_keys").alias("_key")).distinct()
@@ -319,7 +320,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
     else:
         nodes = nodes.select("_key", "_node", "_print", F.lit(0).alias("_a"), F.lit(0).alias("_b"))
     sorted_keys = nodes.repartition("_key", "_a", "_b").sortWithinPartitions("_key", "_a", "_b", "_node")
-    edges = sorted_keys.mapInArrow(_compare(radius), "_x bigint, _y bigint")
+    edges = sorted_keys.mapInArrow(lean(_compare(radius)), "_x bigint, _y bigint")
     roots = components(edges)
     members = signed.groupBy("_id", "_k", node).agg(F.count("*").alias("_rows"))
     copied = members.groupBy("_node").agg(F.sum("_rows").alias("_n")).where("_n > 1").select("_node")
