@@ -12,7 +12,7 @@ a match can reach before its next anchor; every match lies in the windows of its
 never shorter than MIN_WORDS. Windows of one anchor meet in the anchor's shard. Anchors of one document alone are
 left out. Windows that agree in several documents as a whole (told by 128 bits of hashes) are results without a
 search and are indexed once, if others differ. The number of shards follows from the amount of text; a shard
-that is much larger than SHARD_WORDS, for an anchor that very many documents have, is split by documents and searched with all its windows in each part. The result is exact.
+that is larger than PART_WORDS, for an anchor that very many documents have, is split by documents and searched with all its windows in each part. The result is exact.
 
 Words are runs of anything but white space, compared as they are. A result is a run of words each of which is part of a
 stretch of MIN_WORDS words that another document has too.
@@ -34,7 +34,9 @@ from docloom.llm.common import INF, K1, U64, cut, join_checked, mix, room, row_o
 
 MIN_WORDS = 50
 GRAM = 25
-SHARD_WORDS = 1 << 20
+#: Words of a shard, few enough that its arrays stay in a core's cache; and of a part of a shard that is split.
+SHARD_WORDS = 1 << 18
+PART_WORDS = 1 << 21
 
 
 class RankBits:
@@ -126,13 +128,12 @@ def common_prefixes(order: np.ndarray, ranks: list[np.ndarray]) -> np.ndarray:
 
 
 def smaller(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each entry the nearest earlier and the nearest later one that is smaller, or the first and the last place; by descent over minima of powers of two."""
+    """For each entry above 0 the nearest earlier and the nearest later one that is smaller, or the first and the last place; by descent over minima of powers of two."""
     n = len(values)
     minima = [values.astype(np.int32)]
-    while 2 << len(minima) <= 2 * n:
-        half = 1 << (len(minima) - 1)
-        if 2 * half > n:
-            break
+    # Nothing smaller is farther away than the longest stretch without a 0.
+    farthest = int(np.diff(np.concatenate([[-1], np.flatnonzero(values == 0), [n]])).max())
+    while 2 * (half := 1 << (len(minima) - 1)) <= min(n, farthest):
         minima.append(np.minimum(minima[-1][:-half], minima[-1][half:]))
     v = minima[0]
     left, right = np.arange(n), np.arange(1, n + 1)
@@ -385,7 +386,7 @@ def _search(least: int):
     return run
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_WORDS, gram: int = GRAM, shard_words: int = SHARD_WORDS) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_WORDS, gram: int = GRAM, shard_words: int = SHARD_WORDS, part_words: int = PART_WORDS) -> DataFrame:
     """The runs of words that other documents have too: doc_id, start_word, end_word (behind the last), n_words."""
     names = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
     texts = names.withColumn("_d", F.xxhash64("_id", "_t")).select("_id", "_d", "_t")
@@ -403,7 +404,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     some = join_checked(texts.select("_d", "_t"), wanted, F.col("_d") == F.col("_w"), "left_semi", n_spans).dropDuplicates(["_d"])
     windows = some.join(placed, "_d").select("_d", "_t", "_spans").mapInArrow(_windows, "_d bigint, _from int, _anchor bigint, _common boolean, _text binary")
     shard = F.pmod(F.xxhash64("_anchor"), F.lit(max(1, -(-(total or 0) // shard_words)))).cast("int")
-    parts = cut(spans.groupBy(shard.alias("_shard")).agg(F.ceil(F.sum(F.col("_to") - F.col("_from")) / (2 * shard_words)).cast("int").alias("_parts")).where("_parts > 1"))
+    parts = cut(spans.groupBy(shard.alias("_shard")).agg(F.ceil(F.sum(F.col("_to") - F.col("_from")) / part_words).cast("int").alias("_parts")).where("_parts > 1"))
     windows = windows.withColumn("_shard", shard)
     if n_parts := parts.count():
         windows = join_checked(windows, parts, "_shard", "left", n_parts)
