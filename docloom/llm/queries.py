@@ -52,6 +52,19 @@ def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.audit(pages, damaged(pages))
 
 
+def incomplete(pages: DataFrame) -> DataFrame:
+    """A damaged second replica that also lost some pages, wherever they lie in their files, and has others twice, as captured again."""
+    kept = damaged(pages).where(~(F.col("page_id") % 61).eqNullSafe(41))
+    again = pages.where(F.col("page_id") % 83 == 29).select("page_id", F.concat("url", F.lit("#again")).alias("url"), "html")
+    return kept.unionByName(again)
+
+
+def op7_warc_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit against a replica that lost and gained records inside files."""
+    pages = table(spark, sf_dir, "pages")
+    return warc.audit(pages, incomplete(pages))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -71,6 +84,7 @@ OPERATORS = (
     op4_sentencepiece,
     op5_chat_formatting,
     op6_simhash,
+    op7_warc_losses,
     op7_warc_fixity,
     op8_license_scan,
     op9_substring_dedup,

@@ -2,12 +2,14 @@
 
 Pages are laid out as records of WARC files, RECORDS_PER_FILE consecutive ids a file. Each record's bytes are hashed
 where they lie; a leaf holds the record's range of offsets in its file and its digest, in the order of offsets. Replicas are
-compared by their files' roots; only files that differ are looked into, and in them only the branches that differ. Bytes
-are never shuffled, only a digest and a length a record.
+compared by their files' roots; only files that differ are looked into, and in them only the branches that differ. The
+records in these are paired by page and digest, then by page alone, wherever they lie: a record that is lost or put in
+moves those behind it and changes none. Bytes are never shuffled, only a digest and a length a record.
 
 Defined cases: a null url or html counts as empty; pages with one id are records of their own, in the order of their
 digests; pages without an id make a file of their own; a record that only one replica has is missing or extra; one that
-only lies elsewhere has moved; empty tables have no files; other columns are ignored.
+only lies elsewhere has moved; of records with one id that have no equal in the other replica, those first in the order of digests
+are changed ones of each other; empty tables have no files; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -51,6 +53,14 @@ def trees(recs: DataFrame) -> DataFrame:
     return lists.withColumn("_levels", levels(leaf))
 
 
+def _paired(recs: DataFrame, by: list[str], *order: str) -> DataFrame:
+    """The n-th record of each key in either replica: the key, _x and _y, of which one may be null."""
+    n = F.row_number().over(Window.partitionBy(*by, "_side").orderBy(*order))
+    held = F.struct("_start", "_end", "_digest")
+    one = lambda side: F.first(F.when(F.col("_side") == side, held), ignorenulls=True)
+    return recs.withColumn("_n", n).groupBy(*by, "_n").agg(one(0).alias("_x"), one(1).alias("_y"))
+
+
 def audit(first: DataFrame, second: DataFrame, per_file: int = RECORDS_PER_FILE) -> DataFrame:
     """The records in which two replicas of pages differ: warc_file, page_id, start_offset and end_offset (in the first replica where it has the record), state."""
     a, b = (trees(records(x, per_file)).select(F.col("_file").alias(f"_f{n}"), F.col("_records").alias(f"_r{n}"), F.col("_levels").alias(f"_l{n}")) for x, n in ((first, "a"), (second, "b")))
@@ -58,8 +68,19 @@ def audit(first: DataFrame, second: DataFrame, per_file: int = RECORDS_PER_FILE)
     none = F.array().cast("array<array<string>>")
     la, lb = F.coalesce("_la", none), F.coalesce("_lb", none)
     differ = both.where(~F.get(F.element_at("_la", -1), 0).eqNullSafe(F.get(F.element_at("_lb", -1), 0)))
-    found = differ.withColumn("_i", F.explode(descend(la, lb)))
-    found = found.select(F.coalesce("_fa", "_fb").alias("warc_file"), F.get("_ra", F.col("_i")).alias("_x"), F.get("_rb", F.col("_i")).alias("_y"))
-    here = F.coalesce("_x", "_y")
-    state = F.when(F.col("_x").isNull(), "extra").when(F.col("_y").isNull(), "missing").when(F.col("_x._digest") != F.col("_y._digest"), "changed").otherwise("moved")
-    return found.select("warc_file", here["_page"].alias("page_id"), here["_start"].alias("start_offset"), here["_end"].alias("end_offset"), state.alias("state"))
+    numbers = differ.select(F.coalesce("_fa", "_fb").alias("_f"), "_ra", "_rb", descend(la, lb).alias("_at"))
+
+    def side(n: int, held: str) -> DataFrame:
+        return numbers.select("_f", F.lit(n).alias("_side"), F.explode(F.transform("_at", lambda i: F.get(held, i))).alias("_r")).where("_r is not null")
+
+    recs = side(0, "_ra").unionByName(side(1, "_rb")).select("_f", F.col("_r._page").alias("_page"), F.col("_r._digest").alias("_digest"), "_side", F.col("_r._start").alias("_start"), F.col("_r._end").alias("_end"))
+    # Everything below is by file and page, so that records move once.
+    recs = recs.repartition("_f", "_page")
+    pairs = _paired(recs, ["_f", "_page", "_digest"], "_start")
+    moved = F.col("_x").isNotNull() & F.col("_y").isNotNull()
+    alike = pairs.where(moved & ((F.col("_x._start") != F.col("_y._start")) | (F.col("_x._end") != F.col("_y._end")))).select("_f", "_page", "_x", F.lit("moved").alias("state"))
+    rest = pairs.where(~moved).select("_f", "_page", F.when(F.col("_x").isNull(), 1).otherwise(0).alias("_side"), F.coalesce("_x", "_y").alias("_r")).select("_f", "_page", "_side", "_r.*")
+    state = F.when(F.col("_x").isNull(), "extra").when(F.col("_y").isNull(), "missing").otherwise("changed")
+    others = _paired(rest, ["_f", "_page"], "_digest", "_start").select("_f", "_page", F.coalesce("_x", "_y").alias("_x"), state.alias("state"))
+    found = alike.unionByName(others)
+    return found.select(F.col("_f").alias("warc_file"), F.col("_page").alias("page_id"), F.col("_x._start").alias("start_offset"), F.col("_x._end").alias("end_offset"), "state")
