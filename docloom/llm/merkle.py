@@ -5,15 +5,17 @@ documents have one root exactly if they have one text. Leaves, inner nodes, sect
 different first letters. An odd node of a level moves up as it is.
 
 Defined cases: a null text has a null root and no parts; the empty text is one section of one empty paragraph; rows
-with one id are fingerprinted each; for edits, of several rows with one id the one with the smallest text is compared
-with the other side's, and a document that only one side has is reported as added or removed as a whole; other columns are ignored.
+with one id are fingerprinted each; for edits, of several rows with one id (or without one) those with equal roots are
+settled first and the others paired in the order of their texts, and a row that only one side has is reported as added or removed as a whole; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.llm.common import cut, join_checked
+
 
 def _up(level: Column) -> Column:
     """The next level of a tree."""
@@ -79,28 +81,45 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def edits(old: DataFrame, new: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Where two versions differ: doc_id, section, paragraph (numbers from 0; null for a whole document), change.
+def _root_of(text: Column) -> Column:
+    return _document(F.transform(_sections(text), _section))
 
-    Roots are compared first, then the trees over sections, then those over the paragraphs of differing sections.
-    """
 
-    def side(df: DataFrame, name: str) -> DataFrame:
-        one = df.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(text_col).alias("_t"))
-        leaves = one.select("_id", F.coalesce(_sections(F.col("_t")), F.array().cast("array<array<string>>")).alias("_p"))
-        return leaves.select(F.col("_id").alias(f"_id{name}"), F.col("_p").alias(f"_p{name}"), F.transform("_p", _section).alias(f"_s{name}"))
+def versions(old: DataFrame, new: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Where two versions differ: doc_id, old_root, new_root, section, paragraph (numbers from 0; null for a whole document), change.
 
-    a, b = side(old, "a"), side(new, "b")
-    both = a.join(b, F.col("_ida") == F.col("_idb"), "full")
-    both = both.where(~_document(F.col("_sa")).eqNullSafe(_document(F.col("_sb"))) | F.col("_ida").isNull() | F.col("_idb").isNull())
-    whole = both.where(F.col("_ida").isNull() | F.col("_idb").isNull()).select(
-        F.coalesce("_ida", "_idb").alias("doc_id"), F.lit(None).cast("int").alias("section"), F.lit(None).cast("int").alias("paragraph"), F.when(F.col("_ida").isNull(), "added").otherwise("removed").alias("change")
-    )
-    inner = both.where(F.col("_ida").isNotNull() & F.col("_idb").isNotNull())
-    inner = inner.withColumn("_si", F.explode(descend(levels(F.col("_sa")), levels(F.col("_sb")))))
+    Roots are compared first, then the trees over sections, then those over the paragraphs of differing sections. Only texts
+    whose roots differ are moved.
+    """
+    roots = [df.select(F.col(id_col).alias("_id"), _root_of(F.col(text_col)).alias("_root"), F.lit(n).alias("_n")) for df, n in ((old, 1), (new, -1))]
+    rest = cut(roots[0].unionByName(roots[1]).groupBy("_id", "_root").agg(F.sum("_n").alias("_n")).where("_n <> 0"))
+    n = rest.count()
+
+    def side(df: DataFrame, sign: int) -> DataFrame:
+        need = rest.where(F.col("_n") * sign > 0).select(F.col("_id").alias("_i"), "_root", F.abs("_n").cast("int").alias("_copies"))
+        texts = join_checked(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")), need, F.col("_id").eqNullSafe(F.col("_i")), "inner", n)
+        texts = texts.where(_root_of(F.col("_t")).eqNullSafe(F.col("_root"))).dropDuplicates(["_id", "_root"])
+        return texts.select("_id", F.lit(sign).alias("_side"), F.struct("_t", "_root").alias("_r"), F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
+
+    rows = side(old, 1).unionByName(side(new, -1))
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_side").orderBy("_r", "_copy")))
+    one = lambda sign: F.first(F.when(F.col("_side") == sign, F.col("_r")), ignorenulls=True)
+    pairs = rows.groupBy("_id", "_n").agg(one(1).alias("_a"), one(-1).alias("_b")).select("_id", "_a", "_b", F.col("_a._root").alias("old_root"), F.col("_b._root").alias("new_root"))
+    both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    number = F.lit(None).cast("int")
+    whole = pairs.where(~both).select("_id", "old_root", "new_root", number.alias("_si"), number.alias("_pi"), F.when(F.col("_a").isNull(), "added").otherwise("removed").alias("change"))
+    parts = lambda c: F.coalesce(_sections(F.col(c)), F.array().cast("array<array<string>>"))
+    inner = pairs.where(both).select("_id", "old_root", "new_root", parts("_a._t").alias("_pa"), parts("_b._t").alias("_pb"))
+    inner = inner.withColumn("_si", F.explode(descend(levels(F.transform("_pa", _section)), levels(F.transform("_pb", _section)))))
     pa, pb = F.get("_pa", F.col("_si")), F.get("_pb", F.col("_si"))
     none = F.array().cast("array<string>")
-    inner = inner.select("_ida", "_si", F.coalesce(pa, none).alias("_x"), F.coalesce(pb, none).alias("_y"))
+    inner = inner.select("_id", "old_root", "new_root", "_si", F.coalesce(pa, none).alias("_x"), F.coalesce(pb, none).alias("_y"))
     inner = inner.withColumn("_pi", F.explode(descend(levels(F.col("_x")), levels(F.col("_y")))))
     change = F.when(F.get("_x", F.col("_pi")).isNull(), "added").when(F.get("_y", F.col("_pi")).isNull(), "removed").otherwise("changed")
-    return whole.unionByName(inner.select(F.col("_ida").alias("doc_id"), F.col("_si").alias("section"), F.col("_pi").alias("paragraph"), change.alias("change")))
+    found = whole.unionByName(inner.select("_id", "old_root", "new_root", "_si", "_pi", change.alias("change")))
+    return found.select(F.col("_id").alias("doc_id"), "old_root", "new_root", F.col("_si").alias("section"), F.col("_pi").alias("paragraph"), "change")
+
+
+def edits(old: DataFrame, new: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The edits of versions() without the roots: doc_id, section, paragraph, change."""
+    return versions(old, new, id_col, text_col).select("doc_id", "section", "paragraph", "change")

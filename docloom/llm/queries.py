@@ -19,6 +19,20 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def revised(docs: DataFrame) -> DataFrame:
+    """A second version: of some documents a character is another one, some have one more section, some are gone, some are new."""
+    text, n, i = F.col("text"), F.length("text"), F.col("doc_id")
+    changed = F.concat(F.substring(text, F.lit(1), F.floor(n / 2).cast("int")), F.lit("~"), F.substring(text, F.floor(n / 2).cast("int") + 2, n))
+    kept = docs.where(~(i % 101).eqNullSafe(3)).select("doc_id", F.when(i % 53 == 7, changed).when(i % 71 == 5, F.concat(text, F.lit("\n\nOne more section."))).otherwise(text).alias("text"))
+    return kept.unionByName(docs.where(i % 131 == 9).select((-i).alias("doc_id"), "text"))
+
+
+def op1_document_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table against a second version of it: roots of what differs, and where it does."""
+    docs = table(spark, sf_dir, "documents")
+    return merkle.versions(docs, revised(docs))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -78,6 +92,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OPERATORS = (
+    op1_document_edits,
     op1_document_fingerprints,
     op2_language_id,
     op3_mixing,
