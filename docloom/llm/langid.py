@@ -6,7 +6,10 @@ broadcast; its size is fixed by the parameters. Scoring is sparse: for each batc
 row numbers of the matrix, as the column indices of a CSR matrix whose row pointers are the texts, and the matrix rows
 are summed text by text in numpy. Texts are taken whole, in lower case.
 
-A text is rejected ("und") if it has no letter (null, empty, only digits and signs) or if the best language's posterior is under MIN_POSTERIOR. Repeated rows are scored each; ties go to the
+A text is rejected ("und") if it has no letter (null, empty, only digits and signs), if the best language's posterior is under MIN_POSTERIOR, or
+if its mean log probability per n-gram is too low for that language: under the mean that the matrix itself gives, less MARGIN and DEVIATIONS
+standard errors, so that short texts have more room. This is what rejects other languages and gibberish, whose posterior is near 1, too; real
+text that is as unlike the training rows as another language is goes with it. Repeated rows are scored each; ties go to the
 language first in the alphabet; without labelled rows every text is rejected.
 """
 
@@ -28,6 +31,8 @@ ORDERS = (1, 2, 3)
 SAMPLE_PER_LANG = 1000
 ALPHA = 0.5
 MIN_POSTERIOR = 0.6
+#: How far, in nats per n-gram, a text may lie under its language's mean, and how many standard errors of the mean besides.
+MARGIN, DEVIATIONS = 1.1, 6.0
 
 
 def features(data: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -107,13 +112,21 @@ def score(data: np.ndarray, offsets: np.ndarray, matrix: np.ndarray) -> tuple[np
     return sums, count
 
 
+def expected(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each language: mean and standard deviation of the log probability of an n-gram drawn from it."""
+    logs = matrix.astype(np.float64)
+    p = np.exp(logs)
+    mean = (p * logs).sum(axis=0)
+    return mean, np.sqrt(np.maximum((p * logs**2).sum(axis=0) - mean**2, 0))
+
+
 def _classify(spread, min_posterior: float, text_col: str):
     def text(batch: pa.RecordBatch) -> pa.Array:
         whole = batch.column("_d").field(text_col) if "_d" in batch.schema.names else batch.column("_t")
         return pc.utf8_lower(whole.cast(pa.string()).fill_null(""))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, columns = spread.value
+        langs, columns, mean, deviation = spread.value
         names = np.array([*langs, "und"], dtype=object)
         for batch in batches:
             data, offsets = text_of(text(batch))
@@ -127,7 +140,9 @@ def _classify(spread, min_posterior: float, text_col: str):
                 top = s.argmax(axis=1)
                 p = 1 / np.exp(s - s.max(axis=1, keepdims=True)).sum(axis=1)
                 p[n == 0] = 0
-                best.append(np.where((p >= min_posterior) & (n > 0), top, len(langs)))
+                m = np.maximum(n, 1)
+                typical = s.max(axis=1) / m >= mean[top] - MARGIN - DEVIATIONS * deviation[top] / np.sqrt(m)
+                best.append(np.where((p >= min_posterior) & typical & (n > 0), top, len(langs)))
                 prob.append(p)
             best, prob = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (best, prob))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "_t"), pa.array(names[best], pa.string()), pa.array(prob, pa.float64())], [*(c for c in batch.schema.names if c != "_t"), "_lang", "_posterior"])
@@ -137,7 +152,7 @@ def _classify(spread, min_posterior: float, text_col: str):
 
 def classify(rows: DataFrame, model: tuple[list[str], np.ndarray], min_posterior: float = MIN_POSTERIOR, text_col: str = "text") -> DataFrame:
     """rows with _lang and _posterior. The text is a column _t, which goes, or the field text_col of a column _d, which stays."""
-    spread = rows.sparkSession.sparkContext.broadcast((model[0], np.asfortranarray(model[1])))
+    spread = rows.sparkSession.sparkContext.broadcast((model[0], np.asfortranarray(model[1]), *expected(model[1])))
     schema = StructType([f for f in rows.schema if f.name != "_t"]).add("_lang", "string").add("_posterior", "double")
     return rows.mapInArrow(lean(_classify(spread, min_posterior, text_col)), schema)
 
