@@ -37,6 +37,7 @@ def test_pieces_like_the_library(codec, spark, data_dir):
     rng = random.Random(2)
     made = ["", " ", "  a  b ", "aaaaaaaaaaaaaaaaaaaaaaaaa", "Ünïcödé 漢字 \U0001f600", "x\n\ny\tz", "....!!!???", "http://a.b/c?d=e&f", "▁a▁b", "".join(rng.choices("ab cd\n", k=3000))]
     made += ["".join(rng.choices("etaoin shrdlu", k=rng.randint(1, 60))) for _ in range(300)]
+    made += ["a" * 5000, "".join(rng.choices("abcdefgh", k=5000)), "漢字" * 300, "\U0001f600" * 300]
     texts = made + [r.text for r in spark.read.parquet(f"{data_dir}/documents.parquet").select("text").collect()]
     for t in texts:
         ids = codec.encode(t)
@@ -44,6 +45,32 @@ def test_pieces_like_the_library(codec, spark, data_dir):
         assert codec.decode(ids) == t.replace("▁", " ")
 
 
+def test_slices_and_nulls_like_single_texts(codec):
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("etaoin shrdlu,.\n漢é", k=rng.randint(0, 200))) for _ in range(200)] + [None, "", "x"]
+    pieces, count, same = sentencepiece_codec.encode_batch(codec, pa.array(texts, pa.string()))
+    want = [None if t is None else codec.encode(t) for t in texts]
+    assert pieces.to_pylist() == want and count.to_pylist() == [None if w is None else len(w) for w in want]
+    assert same.to_pylist() == [None if t is None else True for t in texts]
+    assert sentencepiece_codec.decode_batch(codec, pieces).to_pylist() == texts
+    strange = pa.array([b"a\xffb", b"ok"]).cast(pa.binary())
+    text = pa.Array.from_buffers(pa.string(), 2, strange.buffers())
+    assert sentencepiece_codec.encode_batch(codec, text)[2].to_pylist() == [False, True]
+
+
+def test_compatible_pairs_like_merging(codec, spark):
+    """What undoing merges says about two pieces, against merging their joint text."""
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    rng = np.random.default_rng(6)
+    whole = np.flatnonzero((codec.length == 1) | (codec.left != np.arange(codec.n)))
+    a, b = rng.choice(whole, 4000), rng.choice(whole, 4000)
+    rank = {sp.id_to_piece(int(i)): sp.get_score(int(i)) for i in codec.id}
+    got = codec.compatible(a.astype(np.int32), b.astype(np.int32))
+    for x, y, g in zip(a, b, got):
+        l, r = sp.id_to_piece(int(codec.id[x])), sp.id_to_piece(int(codec.id[y]))
+        assert g == (sentencepiece_codec._merge(rank, l + r, []) == [l, r])
+
+
 def test_round_trip_of_the_query(spark, data_dir):
     out = sentencepiece_codec.encode(spark.read.parquet(f"{data_dir}/documents.parquet"), MODEL)
     assert out.where("not round_trip").count() == 0
