@@ -8,13 +8,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docloom.checkpoints import let
+
 MAP = "map<string,string>"
 
 
 def valid(s: Column) -> Column:
-    """The text if all of it is one JSON value, else null. The parser itself would let anything follow a value, so a mark behind it must be reached."""
-    marked = F.try_parse_json(F.concat(F.lit('{"v":'), s, F.lit(',"~end":1}')))
-    return F.when(F.try_variant_get(marked, "$['~end']", "int") == 1, s)
+    """The text if all of it is one JSON value, else null. The parser itself would let anything follow a value, so the text is put in a list before its own hash, which nothing in it can stand for."""
+    mark = F.sha2(s, 256)
+    pair = F.try_parse_json(F.concat(F.lit("["), s, F.lit(',"'), mark, F.lit('"]')))
+    return F.when((F.try_variant_get(pair, "$[1]", "string") == mark) & F.try_variant_get(pair, "$[2]", "string").isNull(), s)
 
 
 def unescape(s: Column) -> Column:
@@ -68,16 +71,28 @@ def merge_objects(replies: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.flatten(F.transform(replies, objects)), ", "), F.lit("]"))
 
 
+def _latest(pairs: Column) -> Column:
+    """A JSON object of pairs (k, v: JSON text), each key where it came up first and with its last value. Keys are sorted, so none is searched for."""
+
+    def chosen(p: Column) -> Column:
+        other = lambda x, i: (i < 0) | (i >= F.size(p)) | ~F.get(p, i)["k"].eqNullSafe(x["k"])
+        firsts, lasts = F.filter(p, lambda x, i: other(x, i - 1)), F.filter(p, lambda x, i: other(x, i + 1))
+        return F.zip_with(firsts, lasts, lambda a, b: F.struct(a["at"].alias("at"), a["k"].alias("k"), b["v"].alias("v")))
+
+    sorted_ = F.array_sort(F.transform(pairs, lambda x, i: F.struct(x["k"].alias("k"), i.alias("at"), x["v"].alias("v"))))
+    name = lambda k: F.regexp_replace(F.to_json(F.array(k)), r"^\[|\]$", "")
+    parts = F.transform(F.array_sort(let(sorted_, chosen)), lambda x: F.concat(name(x["k"]), F.lit(": "), x["v"]))
+    return F.concat(F.lit("{"), F.array_join(parts, ", "), F.lit("}"))
+
+
 def merge_pieces(replies: Column) -> Column:
     """One answer of several: arrays concatenated, objects with later keys winning, else the texts joined; the first reply decides."""
     first = F.try_element_at(replies, F.lit(1))
     arrays = F.flatten(F.filter(F.transform(replies, lambda r: items(find_array(r))), lambda x: x.isNotNull()))
     pairs = F.flatten(F.filter(F.transform(replies, lambda r: F.transform(F.map_entries(F.from_json(find_dict(r), F.lit("map<string,variant>"))), lambda e: F.struct(e["key"].alias("k"), F.to_json(e["value"]).alias("v")))), lambda x: x.isNotNull()))
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    latest = F.transform(keys, lambda k: F.concat(F.lit('"'), k, F.lit('": '), F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"]))
     return (
         F.when(F.size(replies) == 0, F.lit(""))
         .when(find_array(first).isNotNull(), F.concat(F.lit("["), F.array_join(arrays, ", "), F.lit("]")))
-        .when(find_dict(first).isNotNull(), F.concat(F.lit("{"), F.array_join(latest, ", "), F.lit("}")))
+        .when(find_dict(first).isNotNull(), _latest(pairs))
         .otherwise(F.array_join(replies, ""))
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docloom.checkpoints import let
+
 DECIMAL = "decimal(38,10)"
 #: Hyphen-minus, em, en, figure, bar and minus signs.
 DASHES = "[\\-‒-―−]"
@@ -31,11 +33,17 @@ def dot_thousands(s: Column) -> Column:
 
 def clean_number(s: Column) -> Column:
     """The signed decimal of a cell: 1,234.50 and 1.234,5 are read as meant; 12,5 is 12.5; (5) is -5. Null if it is none."""
-    bare = F.regexp_replace(s, r"[^\d.,]", "")
-    plain = F.when(comma_thousands(bare), F.replace(bare, F.lit(","), F.lit(""))).when(dot_thousands(bare), F.replace(bare, F.lit("."), F.lit(""))).otherwise(bare)
-    plain = F.replace(plain, F.lit(","), F.lit("."))
-    value = F.when(plain.rlike(r"^(?=.*\d)\d*\.?\d*$"), plain).try_cast(DECIMAL)
-    return F.when(_null_blank(s).isNotNull(), F.when(is_negative(s), -value).otherwise(value))
+
+    def plain(bare: Column) -> Column:
+        whole = F.when(comma_thousands(bare), F.replace(bare, F.lit(","), F.lit(""))).when(dot_thousands(bare), F.replace(bare, F.lit("."), F.lit(""))).otherwise(bare)
+        return F.replace(whole, F.lit(","), F.lit("."))
+
+    def value(text: Column) -> Column:
+        return F.when(text.rlike(r"^(?=.*\d)\d*\.?\d*$"), text).try_cast(DECIMAL)
+
+    number = let(let(F.regexp_replace(s, r"[^\d.,]", ""), plain), value)
+    signed = let(number, lambda x: F.when(is_negative(s), -x).otherwise(x))
+    return F.when(_null_blank(s).isNotNull(), signed)
 
 
 def last_number(s: Column) -> Column:

@@ -1,91 +1,107 @@
 """Answers against truth: matching with fallbacks, scores by document and model, and totals by model.
 
-answers: source, model ("assigned" is the truth), class_id, key (of the meta values), value, seq; meta_n: how many meta values an answer has.
+answers: source, model ("assigned" is the truth), class_id, key (of the meta values), value, seq (the order in which answers came up); meta_n: how
+many meta values an answer has; full_key, if keys were shortened: the key of all of its meta values. What is collected in
+one row are the answers of one reply to one question, whose number the reply's length bounds.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.checkpoints import let
+
 TRUTH = "assigned"
+#: By class, what says whether an expected and an actual value are the same.
+Comparators = dict[str, Callable[[Column, Column], Column]]
+
+
+def first_answers(answers: DataFrame) -> DataFrame:
+    """One answer for each source, model, class and key: the first one, or where keys were shortened the last whose key was."""
+    kept = F.struct("value", "meta_n", "seq")
+    first = F.min_by(kept, "seq")
+    if "full_key" in answers.columns:
+        first = F.coalesce(F.max_by(kept, F.when(F.col("full_key") != F.col("key"), F.col("seq"))), first)
+    one = answers.groupBy("source", "model", "class_id", "key").agg(first.alias("_a"))
+    return one.select("source", "model", "class_id", "key", "_a.value", "_a.seq", "_a.meta_n")
+
+
+def _beside_truth(answers: DataFrame, compare: Comparators | None) -> DataFrame:
+    """One row a source, model and class: _n (answers), and where the class has a truth _missing, _order (of the class) and _m: each true answer with the one it is matched with."""
+    given = answers.groupBy("source", "model", "class_id").agg(F.sort_array(F.collect_list(F.struct("seq", "key", "value", "meta_n"))).alias("_all"))
+    truth = given.where(F.col("model") == TRUTH).select("source", "class_id", F.col("_all").alias("_true"))
+    both = given.join(truth, ["source", "class_id"], "left")
+    alone = (F.size("_true") == 1) & (F.size("_all") == 1)
+
+    def same(t: Column, x: Column, status: Column) -> Column:
+        equal = t["value"].eqNullSafe(x["value"])
+        for cls, f in (compare or {}).items():
+            equal = F.when((status == "key") & (F.col("class_id") == cls), f(t["value"], x["value"])).otherwise(equal)
+        return F.coalesce(equal, F.lit(False))
 
+    def match(t: Column) -> Column:
+        by_key = F.get(F.filter("_all", lambda x: x["key"].eqNullSafe(t["key"])), F.lit(0))
+        by_value = F.get(F.filter("_all", lambda x: x["value"].eqNullSafe(t["value"])), F.lit(0))
+        found = let(F.struct(by_key.alias("k"), by_value.alias("v")), lambda f: F.struct(F.when(f["k"].isNotNull(), "key").when(alone, "single").when(f["v"].isNotNull(), "value").alias("status"), F.when(f["k"].isNotNull(), f["k"]).when(alone, F.get("_all", F.lit(0))).otherwise(f["v"]).alias("x")))
+        return let(found, lambda f: F.struct(t["key"].alias("key"), t["value"].alias("expected_value"), f["x"]["value"].alias("actual_value"), f["x"]["key"].alias("actual_key"), f["status"].alias("status"), t["meta_n"].alias("meta_n"), (f["status"].isNotNull() & same(t, f["x"], f["status"])).alias("correct")))
 
-def first_answers(answers: DataFrame, last_wins: bool = False) -> DataFrame:
-    """One answer for each source, model, class and key: the first one, or the last where keys were shortened."""
-    order = F.desc("seq") if last_wins else F.asc("seq")
-    w = Window.partitionBy("source", "model", "class_id", "key").orderBy(order)
-    return answers.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return both.select("source", "model", "class_id", F.size("_all").alias("_n"), F.greatest(F.size("_true") - F.size("_all"), F.lit(0)).alias("_missing"), F.array_min(F.transform("_true", lambda t: t["seq"])).alias("_order"), F.transform("_true", match).alias("_m"))
 
 
-def matched(answers: DataFrame, same: Column | None = None) -> DataFrame:
+def matched(answers: DataFrame, compare: Comparators | None = None) -> DataFrame:
     """Each true answer with each model's answer to it: status "key" (by key), "single" (one against one), "value" (an equal value under another key) or null (missing).
 
-    ``same`` compares expected_value and actual_value; equality by default.
+    ``compare`` is asked about answers that were matched by key; other values must be equal.
     """
-    truth = answers.where(F.col("model") == TRUTH).select("source", "class_id", F.col("key").alias("_tk"), F.col("value").alias("expected_value"), F.col("meta_n").alias("_tm"))
-    w = Window.partitionBy("source", "class_id")
-    truth = truth.withColumn("_tn", F.count("*").over(w))
-    given = answers.groupBy("source", "model", "class_id").agg(F.sort_array(F.collect_list(F.struct("seq", "key", "value"))).alias("_all"))
-    both = truth.join(given, ["source", "class_id"])
-    by_key = F.try_element_at(F.filter("_all", lambda x: x["key"].eqNullSafe(F.col("_tk"))), F.lit(1))
-    by_value = F.try_element_at(F.filter("_all", lambda x: x["value"].eqNullSafe(F.col("expected_value"))), F.lit(1))
-    alone = (F.col("_tn") == 1) & (F.size("_all") == 1)
-    status = F.when(by_key.isNotNull(), "key").when(alone, "single").when(by_value.isNotNull(), "value")
-    hit = F.when(by_key.isNotNull(), by_key).when(alone, F.get("_all", F.lit(0))).otherwise(by_value)
-    out = both.withColumn("status", status).withColumn("_hit", hit)
-    out = out.select("source", "model", "class_id", F.col("_tk").alias("key"), "expected_value", F.col("_hit.value").alias("actual_value"), F.col("_hit.key").alias("actual_key"), "status", F.col("_tm").alias("meta_n"), F.greatest(F.col("_tn") - F.size("_all"), F.lit(0)).alias("_missing"))
-    own = F.col("expected_value").eqNullSafe(F.col("actual_value"))
-    ok = F.when(F.col("status") == "key", own if same is None else same).otherwise(own)
-    return out.withColumn("correct", F.col("status").isNotNull() & F.coalesce(ok, F.lit(False)))
+    return _beside_truth(answers, compare).select("source", "model", "class_id", F.explode("_m").alias("_x")).select("source", "model", "class_id", "_x.*")
 
 
 def error_log(matches: DataFrame) -> DataFrame:
     """What is wrong: source, model, class_id, type ("main question" or "meta"), expected, actual."""
-    main = matches.where("status is not null and not correct").select("source", "model", "class_id", F.lit("main question").alias("type"), F.col("expected_value").alias("expected"), F.col("actual_value").alias("actual"))
-    meta = matches.where("status in ('single', 'value')").select("source", "model", "class_id", F.lit("meta").alias("type"), F.col("key").alias("expected"), F.col("actual_key").alias("actual"))
-    return main.unionByName(meta)
+    main = F.when(F.col("status").isNotNull() & ~F.col("correct"), F.struct(F.lit("main question").alias("type"), F.col("expected_value").alias("expected"), F.col("actual_value").alias("actual")))
+    meta = F.when(F.col("status").isin("single", "value"), F.struct(F.lit("meta").alias("type"), F.col("key").alias("expected"), F.col("actual_key").alias("actual")))
+    return matches.select("source", "model", "class_id", F.explode(F.filter(F.array(meta, main), lambda x: x.isNotNull())).alias("_e")).select("source", "model", "class_id", "_e.*")
 
 
-def by_source(answers: DataFrame, matches: DataFrame, missing_of_last: bool = False) -> DataFrame:
-    """Scores of each source and model: completion, total_correct, total_correct_meta_found, missing_answers.
+def by_source(answers: DataFrame, compare: Comparators | None = None, sum_missing: bool = False) -> DataFrame:
+    """Scores of each source that has a truth, and model: completion, total_correct, total_correct_meta_found, missing_answers.
 
-    Missing answers are summed over classes; with ``missing_of_last`` they are those of the last answered class alone.
+    Missing answers are those of the last of the true classes that the model has answered, as in the original; with ``sum_missing`` all classes' count.
     """
-    classes = answers.groupBy("source", "model").agg(F.countDistinct("class_id").alias("_n"))
-    true = classes.where(F.col("model") == TRUTH).select("source", F.col("_n").alias("_t"))
-    per_class = matches.groupBy("source", "model", "class_id").agg(F.first("_missing").alias("_missing"))
-    pick = F.max_by("_missing", "class_id") if missing_of_last else F.sum("_missing")
-    missing = per_class.groupBy("source", "model").agg(pick.alias("missing_answers"))
-    scores = matches.groupBy("source", "model").agg(F.count_if("correct").alias("total_correct"), F.count_if((F.col("status") == "key") & (F.col("key") != "") & (F.col("meta_n") > 0)).alias("total_correct_meta_found"))
-    out = classes.join(true, "source").join(scores, ["source", "model"], "left").join(missing, ["source", "model"], "left")
-    return out.select("source", "model", (F.col("_n") / F.col("_t")).alias("completion"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("total_correct", "total_correct_meta_found", "missing_answers")))
+    rows = _beside_truth(answers, compare)
+    pick = F.sum("_missing") if sum_missing else F.max_by("_missing", F.when(F.col("_order").isNotNull(), F.struct("_order", "class_id")))
+    count = lambda test: F.sum(F.coalesce(F.size(F.filter("_m", test)), F.lit(0)))
+    met = lambda x: (x["status"] == "key") & (x["key"] != "") & (x["meta_n"] > 0)
+    scores = rows.groupBy("source", "model").agg(F.count("*").alias("_n"), count(lambda x: x["correct"]).alias("total_correct"), count(met).alias("total_correct_meta_found"), F.coalesce(pick, F.lit(0)).alias("missing_answers"))
+    true = scores.where(F.col("model") == TRUTH).select("source", F.col("_n").alias("_t"))
+    return scores.join(true, "source").select("source", "model", (F.col("_n") / F.col("_t")).alias("completion"), "total_correct", "total_correct_meta_found", "missing_answers")
 
 
 def totals(scores: DataFrame) -> DataFrame:
-    """Scores of each model over all sources, and their shares of the truth's."""
-    sums = scores.groupBy("model").agg(F.sum("completion").alias("_c"), *(F.sum(c).alias(c) for c in ("total_correct", "total_correct_meta_found", "missing_answers")))
-    sources = scores.agg(F.countDistinct("source").alias("_sources"))
-    true = sums.where(F.col("model") == TRUTH).select(F.col("total_correct").alias("_tc"), F.col("total_correct_meta_found").alias("_tm"))
-    out = sums.crossJoin(sources).crossJoin(true)
-    tc, tm, miss = F.col("_tc"), F.col("_tm"), F.col("missing_answers")
+    """Scores of each model over all sources, and their shares of the truth's. The models' sums are one row, however many sources there are."""
+    sums = scores.groupBy("model").agg(F.count("*").alias("n"), F.sum("completion").alias("c"), *(F.sum(c).alias(c) for c in ("total_correct", "total_correct_meta_found", "missing_answers")))
+    rows = sums.agg(F.collect_list(F.struct(*sums.columns)).alias("_all"))
+    out = rows.select(F.explode("_all").alias("_s"), F.get(F.filter("_all", lambda x: x["model"] == TRUTH), F.lit(0)).alias("_true")).where("_true is not null")
+    tc, tm, miss, right, meta = F.col("_true.total_correct"), F.col("_true.total_correct_meta_found"), F.col("_s.missing_answers"), F.col("_s.total_correct"), F.col("_s.total_correct_meta_found")
     return out.select(
-        "model",
-        (F.col("_c") / F.col("_sources")).alias("completion"),
-        "total_correct",
-        "total_correct_meta_found",
-        "missing_answers",
+        F.col("_s.model").alias("model"),
+        (F.col("_s.c") / F.col("_true.n")).alias("completion"),
+        right.alias("total_correct"),
+        meta.alias("total_correct_meta_found"),
+        miss.alias("missing_answers"),
         F.try_divide(tc - miss, tc).alias("completeness"),
-        F.try_divide(F.col("total_correct"), tc).alias("total_correct_percent"),
-        F.try_divide(F.col("total_correct_meta_found"), tm).alias("total_correct_meta_found_percent"),
-        F.try_divide(F.col("total_correct"), tc - miss).alias("total_correct_percent_ex_missing"),
-        F.try_divide(F.col("total_correct_meta_found"), F.when(tm > 0, tm - miss)).alias("total_correct_meta_found_percent_ex_missing"),
+        F.try_divide(right, tc).alias("total_correct_percent"),
+        F.try_divide(meta, tm).alias("total_correct_meta_found_percent"),
+        F.try_divide(right, tc - miss).alias("total_correct_percent_ex_missing"),
+        F.try_divide(meta, F.when(tm > 0, tm - miss)).alias("total_correct_meta_found_percent_ex_missing"),
     )
 
 
-def evaluate(answers: DataFrame) -> DataFrame:
-    kept = first_answers(answers)
-    return totals(by_source(kept, matched(kept)))
+def evaluate(answers: DataFrame, compare: Comparators | None = None, sum_missing: bool = False) -> DataFrame:
+    return totals(by_source(first_answers(answers), compare, sum_missing))
 
 
 def costs(expenses: DataFrame) -> DataFrame:

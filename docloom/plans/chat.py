@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.checkpoints import cut
 from docloom.operators.neighbours import allowed, capped, to_string
 from docloom.operators.retrieval import split_tokens
 from docloom.plans import prompts as P
@@ -38,9 +39,9 @@ def shown_documents(refs: DataFrame, elements: DataFrame, most_tokens: int, show
     text = to_string(kept.select("source_identifier", "element_index", "text"), show_index)
     text = text.join(kept.select("source_identifier", "conv_id", "_src").distinct(), "source_identifier")
     docs = text.withColumn("doc_order", F.row_number().over(Window.partitionBy("conv_id").orderBy("_src")) - 1).withColumn("request", F.col("conv_id")).withColumn("tokens", P.tokenize(F.col("content")))
-    cut = split_tokens(docs, most_tokens)
+    shares = split_tokens(docs, most_tokens)
     one = F.concat(F.lit("[START OF DOCUMENT with index "), F.col("doc_order").cast("string"), F.lit("]\n"), F.array_join("kept", ""), F.lit("[END OF DOCUMENT with index "), F.col("doc_order").cast("string"), F.lit("]\n\n"))
-    return cut.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_order", one.alias("t")))), lambda x: x["t"]), "").alias("data"))
+    return shares.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_order", one.alias("t")))), lambda x: x["t"]), "").alias("data"))
 
 
 def run_chat(messages: DataFrame, elements: DataFrame, models: list[tuple[Spec, ClientFactory]], most_tokens: int, current_only: bool = False, show_index: bool = False) -> DataFrame:
@@ -69,8 +70,10 @@ def page_by_page(pages: DataFrame, spec: Spec, factory: ClientFactory, merge: Ca
         replies: list[str] = []
         for k, r in enumerate(rows):
             told = f"Page {k + 1} of {len(rows)}." + (f" The reply so far ends with: {replies[-1][-TAIL:]}" if replies else "")
-            replies.append(one(f"{told}\n{r['prompt']}", (r["image"] or b"",)))
+            got = one(f"{told}\n{r['prompt']}", (r["image"] or b"",))
+            replies.append(got if isinstance(got, str) else got.text)
         return pa.table({"conv_id": pa.array([rows[0]["conv_id"]], pa.string()), "replies": pa.array([replies], pa.list_(pa.string()))})
 
     asked = pages.select(F.col("conv_id").cast("string").alias("conv_id"), "page_order", "prompt", F.col("image").cast("binary").alias("image")).groupBy("conv_id").applyInArrow(run, "conv_id string, replies array<string>")
+    asked = cut(asked)
     return asked.select("conv_id", (merge or merge_pieces)(F.col("replies")).alias("text"))

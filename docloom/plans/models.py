@@ -1,6 +1,7 @@
 """Model clients: what answers prompts, with retries, caching and prices.
 
-Only clients without a network are here; others implement Client. A client is asked inside executors, once for each distinct prompt.
+Clients of services are in providers.py. A client is asked inside executors, once for each distinct prompt, and replies are
+written before anything reads them.
 """
 
 from __future__ import annotations
@@ -8,7 +9,7 @@ from __future__ import annotations
 import random
 import time
 from collections.abc import Callable, Iterator
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field
 from functools import lru_cache
 from hashlib import sha256
 from typing import Protocol
@@ -17,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.checkpoints import cut
 from docloom.operators.evaluation import call_cost
 from docloom.plans.prompts import tokenize
 from docloom.schemas import PROMPT_TOKENS
@@ -44,6 +46,9 @@ class Spec:
     temperature: float = 0
     attempts: int = 5
     wait: tuple[float, float] = (2, 20)
+    endpoint: str | None = None
+    api_version: str | None = None
+    api_key: str | None = field(default=None, repr=False)
 
     def __post_init__(self) -> None:
         if self.kind not in KINDS:
@@ -68,11 +73,22 @@ class RetryError(Exception):
 
 
 class RateLimited(Exception):
-    """To be asked again later."""
+    """To be asked again later. Told by the mark, as executors may hold this package twice: as sent by the driver and as imported by a client's module."""
+
+    again = True
+
+
+@dataclass(frozen=True)
+class Reply:
+    """A reply's text and the tokens that the service counted, if it does."""
+
+    text: str
+    tokens_in: int | None = None
+    tokens_out: int | None = None
 
 
 class Client(Protocol):
-    def ask(self, prompt: str, images: list[bytes]) -> str: ...
+    def ask(self, prompt: str, images: list[bytes]) -> str | Reply: ...
 
 
 ClientFactory = Callable[[Spec], Client]
@@ -88,16 +104,18 @@ class Rules:
         return next((x for r in self.rules if (x := r(prompt)) is not None), "n/a")
 
 
-def asking(spec: Spec, factory: ClientFactory, sleep: Callable[[float], None] = time.sleep, cached: int = 128) -> Callable[[str, tuple[bytes, ...]], str]:
+def asking(spec: Spec, factory: ClientFactory, sleep: Callable[[float], None] = time.sleep, cached: int = 128) -> Callable[[str, tuple[bytes, ...]], str | Reply]:
     """A function that asks a client, again with random, growing waits if it is limited, and remembers the last answers."""
     client = factory(spec)
 
     @lru_cache(cached)
-    def ask(prompt: str, images: tuple[bytes, ...] = ()) -> str:
+    def ask(prompt: str, images: tuple[bytes, ...] = ()) -> str | Reply:
         for n in range(spec.attempts):
             try:
                 return client.ask(prompt, list(images))
-            except RateLimited:
+            except Exception as e:
+                if not getattr(e, "again", False):
+                    raise
                 if n + 1 < spec.attempts:
                     low, high = spec.wait
                     sleep(min(high, max(low, random.uniform(0, 2**n))))
@@ -106,11 +124,23 @@ def asking(spec: Spec, factory: ClientFactory, sleep: Callable[[float], None] =
     return ask
 
 
+#: The model that answers with what is known to be true.
+ASSIGNED = "assigned"
+
+
+@dataclass(frozen=True)
+class Custom:
+    """A model of one's own in place of prompts: functions of elements and an item that give answers or locations as replies.py does."""
+
+    answers: Callable[[DataFrame, object], DataFrame] | None = None
+    locations: Callable[[DataFrame, object], DataFrame] | None = None
+
+
 class Registry:
-    """Clients by the kind of model, and specs by id (the first of an id counts)."""
+    """Clients by the kind of model, specs by id (the first of an id counts), and models of one's own by id."""
 
-    def __init__(self, specs: list[Spec] = (), factories: dict[str, ClientFactory] | None = None) -> None:
-        self.specs, self.factories = list(specs), dict(factories or {})
+    def __init__(self, specs: list[Spec] = (), factories: dict[str, ClientFactory] | None = None, custom: dict[str, Custom] | None = None) -> None:
+        self.specs, self.factories, self.custom = list(specs), dict(factories or {}), dict(custom or {})
 
     def spec(self, model_id: str) -> Spec:
         found = next((s for s in self.specs if s.model_id == model_id), None)
@@ -124,40 +154,59 @@ class Registry:
         return self.factories[spec.kind]
 
 
-def ask(prompts: DataFrame, spec: Spec, factory: ClientFactory, prompt_col: str = "prompt", failed_as_null: bool = False) -> DataFrame:
-    """prompts with ``reply`` and ``cost``. Equal prompts are asked once and joined back; write the result before parsing it, as a lost task would ask again.
+def ask(prompts: DataFrame, spec: Spec, factory: ClientFactory, prompt_col: str = "prompt", failed_as_null: bool = False, images_col: str | None = None, store: str | None = None) -> DataFrame:
+    """prompts with ``reply`` and ``cost``. Equal prompts (with equal images) are asked once; replies are written before they are joined back.
 
-    A null prompt has a null reply. A client that never answers fails the job, or gives null.
+    They are written to the checkpoint folder, or with ``store``, a folder of Parquet, beside those that the model gave earlier,
+    which aren't asked for again. Images (``images_col``: an array of bytes) are shown to models that take them. A null prompt has a null reply. A
+    client that never answers fails the job, or gives null, which isn't stored.
     """
-    key = F.sha2(prompt_col, 256)
-    distinct = prompts.where(F.col(prompt_col).isNotNull()).select(key.alias("_key"), F.col(prompt_col).alias("_prompt")).dropDuplicates(["_key"])
+    shown = F.col(images_col) if images_col and spec.multimodal else F.array().cast("array<binary>")
+    key = F.sha2(F.concat_ws("|", F.lit(spec.key()), F.sha2(prompt_col, 256), F.array_join(F.transform(shown, lambda i: F.sha2(i, 256)), "|")), 256)
+    keyed = prompts.withColumn("_key", F.when(F.col(prompt_col).isNotNull(), key))
+    distinct = keyed.where("_key is not null").select("_key", F.col(prompt_col).alias("_prompt"), shown.alias("_images")).dropDuplicates(["_key"])
+    spark = prompts.sparkSession
+    known = None
+    if store is not None and spark._jvm.org.apache.hadoop.fs.Path(store).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(store)):
+        known = spark.read.parquet(store)
+        distinct = distinct.join(known, "_key", "left_anti")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = asking(spec, factory)
 
-        def reply(p: str) -> str | None:
+        def reply(p: str, images: list[bytes]) -> Reply:
             try:
-                return one(p, ())
+                got = one(p, tuple(images))
             except RetryError:
                 if failed_as_null:
-                    return None
+                    return Reply(None)
                 raise
+            return Reply(got) if isinstance(got, str) else got
 
         for batch in batches:
-            replies = [reply(p) for p in batch.column("_prompt").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("_prompt"), pa.array(replies, pa.string())], ["_key", "_prompt", "reply"])
+            got = [reply(p, i) for p, i in zip(batch.column("_prompt").to_pylist(), batch.column("_images").to_pylist())]
+            counts = [pa.array([getattr(r, c) for r in got], pa.int32()) for c in ("tokens_in", "tokens_out")]
+            yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("_prompt"), pa.array([len(i) for i in batch.column("_images").to_pylist()], pa.int32()), pa.array([r.text for r in got], pa.string()), *counts], ["_key", "_prompt", "_n", "reply", "_in", "_out"])
 
-    replies = distinct.mapInArrow(run, "_key string, _prompt string, reply string")
-    cost = call_cost(F.size(tokenize(F.col("_prompt"))), F.size(tokenize(F.coalesce("reply", F.lit("")))), F.lit(0), F.lit(spec.price_in), F.lit(spec.price_out), F.lit(spec.price_image))
+    replies = distinct.mapInArrow(run, "_key string, _prompt string, _n int, reply string, _in int, _out int")
+    used = lambda counted, text: F.coalesce(counted, F.size(tokenize(F.coalesce(text, F.lit("")))))
+    cost = call_cost(used("_in", F.col("_prompt")), used("_out", F.col("reply")), F.col("_n"), F.lit(spec.price_in), F.lit(spec.price_out), F.lit(spec.price_image))
     priced = replies.select("_key", "reply", cost.alias("cost"))
-    return prompts.withColumn("_key", key).join(priced, "_key", "left").drop("_key")
+    if store is None:
+        priced = cut(priced)
+    else:
+        fresh = cut(priced)
+        fresh.where("reply is not null").write.mode("append").parquet(store)
+        # What was known costs nothing this time.
+        priced = fresh if known is None else fresh.unionByName(known.select("_key", "reply", F.lit(0).cast("decimal(38,10)").alias("cost")))
+    return keyed.join(priced, "_key", "left").drop("_key")
 
 
-def ask_with_fallback(prompts: DataFrame, models: list[tuple[Spec, ClientFactory]], prompt_col: str = "prompt") -> DataFrame:
+def ask_with_fallback(prompts: DataFrame, models: list[tuple[Spec, ClientFactory]], prompt_col: str = "prompt", images_col: str | None = None) -> DataFrame:
     """prompts with ``reply``, ``cost`` and ``model``: of the first model that answers; each is only asked what those before it left."""
     out, open_ = None, prompts
     for spec, factory in models:
-        asked = ask(open_, spec, factory, prompt_col, failed_as_null=True).withColumn("model", F.lit(spec.model_id))
+        asked = ask(open_, spec, factory, prompt_col, failed_as_null=True, images_col=images_col).withColumn("model", F.lit(spec.model_id))
         good = asked.where("reply is not null")
         out = good if out is None else out.unionByName(good)
         open_ = asked.where("reply is null").select(*prompts.columns)

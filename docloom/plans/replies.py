@@ -25,7 +25,7 @@ def _typed(item: Item, raw: Column) -> Column:
 
 
 def answers(replies: DataFrame, item: Item, elements: DataFrame | None = None) -> DataFrame:
-    """Replies (source_identifier, model, reply) to a question as answers: class_id, class_value, raw_value, parse_successful, meta, sources.
+    """Replies (source_identifier, model, reply) to a question as answers: class_id, class_value, raw_value, parse_successful, meta, sources, seq (the place in the reply).
 
     A reply is a JSON object with the answer under a key that holds "main_question", or a list of such objects under "answers".
     ok is that of the last key that was parsed. Sources are the numbers listed, with ``elements`` those that the document has.
@@ -34,7 +34,7 @@ def answers(replies: DataFrame, item: Item, elements: DataFrame | None = None) -
     blocks = F.when(F.get_json_object(body, "$.answers").startswith("["), items(F.get_json_object(body, "$.answers"))).when(F.array_contains(F.map_keys(F.from_json(body, F.lit("map<string,string>"))), MAIN), F.array(body))
     listed = F.get_json_object(body, "$.sources")
     numbers = F.filter(F.transform(F.when(listed.startswith("["), items(listed)), lambda x: F.when(plain(x).rlike(r"^\d+$"), plain(x)).try_cast("int")), lambda x: x.isNotNull())
-    rows = replies.select("source_identifier", "model", F.col("reply").alias("raw_value"), F.coalesce(numbers, F.array().cast("array<int>")).alias("sources"), F.explode(blocks).alias("_b"))
+    rows = replies.select("source_identifier", "model", F.col("reply").alias("raw_value"), F.coalesce(numbers, F.array().cast("array<int>")).alias("sources"), F.posexplode(blocks).alias("seq", "_b"))
     pairs = F.map_entries(F.from_json("_b", F.lit("map<string,string>")))
     rows = rows.withColumn("_p", pairs).where("_p is not null")
 
@@ -53,7 +53,7 @@ def answers(replies: DataFrame, item: Item, elements: DataFrame | None = None) -
     # Of the keys in their order the last parsed one decides about success.
     last_key = F.try_element_at(F.filter(F.transform("_p", lambda e: e["key"]), lambda k: k.contains(MAIN) | (k.isin(*known) if known else F.lit(False))), F.lit(-1))
     ok = F.when(last_key.contains(MAIN), F.col("_main.ok")).otherwise(F.coalesce(F.try_element_at(F.transform(F.filter("meta", lambda m: m["class_id"] == last_key), lambda m: m["prob"] > 0), F.lit(1)), F.lit(False)))
-    out = rows.where("_main is not null").select("source_identifier", "model", F.lit(item.id).alias("class_id"), F.col("_main.value").alias("class_value"), "raw_value", ok.alias("parse_successful"), "meta", "sources")
+    out = rows.where("_main is not null").select("source_identifier", "model", F.lit(item.id).alias("class_id"), F.col("_main.value").alias("class_value"), "raw_value", ok.alias("parse_successful"), "meta", "sources", F.col("seq").cast("bigint").alias("seq"))
     if elements is None:
         return out
     size = elements.groupBy("source_identifier").agg(F.count("*").alias("_size"))
@@ -88,9 +88,10 @@ def assigned_locations(truth: DataFrame) -> DataFrame:
 
 
 def assigned_answers(truth: DataFrame) -> DataFrame:
-    """True answers (source_identifier, class_id, class_value, meta, sources) as answers."""
+    """True answers (source_identifier, class_id, class_value, meta, sources, and seq if they have an order) as answers."""
+    seq = F.col("seq") if "seq" in truth.columns else F.lit(0)
     meta = F.transform("meta", lambda m: F.struct(m["class_id"].alias("class_id"), m["class_value"].alias("class_value"), F.lit(1.0).alias("prob")))
-    return truth.select("source_identifier", F.lit("assigned").alias("model"), "class_id", "class_value", F.col("class_value").alias("raw_value"), F.lit(True).alias("parse_successful"), meta.alias("meta"), "sources")
+    return truth.select("source_identifier", F.lit("assigned").alias("model"), "class_id", "class_value", F.col("class_value").alias("raw_value"), F.lit(True).alias("parse_successful"), meta.alias("meta"), "sources", seq.cast("bigint").alias("seq"))
 
 
 def meta_values(replies: DataFrame, metas: list[Item]) -> DataFrame:
