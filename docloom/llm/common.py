@@ -10,9 +10,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-#: Rows of the side of a join that is still broadcast; beyond it the join shuffles both sides.
-BROADCAST_ROWS = 500_000
+#: Bytes of the side of a join that is still broadcast; beyond it the join shuffles both sides.
+BROADCAST_BYTES = 32 << 20
+#: Bytes of an Arrow batch to Python; a longer row comes alone.
+BATCH_BYTES = 4 << 20
 #: Bytes of text that the numpy kernels take at a time, so that their temporaries stay in the cache.
 SLICE_BYTES = 1 << 20
 
@@ -40,12 +43,36 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir must name a shared folder")
             folder = tempfile.mkdtemp(prefix="docloom-")
         sc.setCheckpointDir(folder)
+    # Files of frames that nothing refers to any more are deleted, unless the session says otherwise.
+    sc._jsc.sc().conf().setIfMissing("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return df.checkpoint(eager=True)
 
 
-def join_checked(big: DataFrame, small: DataFrame, on: Column | str | list[str], how: str, rows: int) -> DataFrame:
-    """Joins with ``small`` broadcast if it has no more than BROADCAST_ROWS rows, else leaves the join to shuffle."""
-    return big.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, on, how)
+def size_of(df: DataFrame) -> int:
+    """Bytes of all rows, about; 0 if there are none. One pass over a frame that should have been cut."""
+
+    def width(name: str, kind: str) -> Column:
+        c = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        if kind.startswith(("array", "struct", "map")):
+            return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 16
+        return F.lit(16)
+
+    return int(df.agg(F.sum(sum((width(n, k) for n, k in df.dtypes), F.lit(8)).cast("bigint"))).first()[0] or 0)
+
+
+def join_checked(big: DataFrame, small: DataFrame, on: Column | str | list[str], how: str, size: int) -> DataFrame:
+    """Joins with ``small`` broadcast if it has no more than BROADCAST_BYTES (``size``, as size_of() gives it), else leaves the join to shuffle."""
+    return big.join(F.broadcast(small) if size <= BROADCAST_BYTES else small, on, how)
+
+
+def arrow_map(rows: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
+    """mapInArrow in batches of BATCH_BYTES, unless the session has a limit of its own: 10,000 long texts are more than a worker should hold."""
+    conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, None) is None:
+        conf.set(key, str(BATCH_BYTES))
+    return rows.mapInArrow(lean(run), schema)
 
 
 def lean(run: Callable) -> Callable:
@@ -187,7 +214,7 @@ def keep_one(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) ->
     member with several such rows one stays. Rows that aren't members stay as they are.
     """
     members = cut(members)
-    n = members.count()
+    n = size_of(members)
     if not n:
         return docs
     m = members.select(F.col("_id").alias("_mid"), F.col("_k").alias("_mk"), F.col("_keep").alias("_mkeep"), F.col("_rows").alias("_mrows"))
@@ -196,7 +223,7 @@ def keep_one(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) ->
     joined = join_checked(keyed, m, same, "left", n)
     out = joined.where(F.col("_mk").isNull() | (F.col("_mkeep") & (F.col("_mrows") == 1)))
     twice = m.where("_mkeep and _mrows > 1")
-    k = twice.count()
+    k = size_of(twice)
     if k:
         again = join_checked(keyed, twice, same, "inner", k).dropDuplicates(["_i", "_h"])
         out = out.select("_d").unionByName(again.select("_d"))

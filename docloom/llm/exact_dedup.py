@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import cut, join_checked, keep_one, lean, slices, text_of
+from docloom.llm.common import arrow_map, cut, join_checked, keep_one, size_of, slices, text_of
 
 #: A cut where these bits of the rolling hash are zero: 2 KB on average. A chunk of more than MAX_CHUNK is cut at its multiples.
 CUT_BITS = 11
@@ -82,7 +82,7 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
     """Rows _id, _k, _keep, _rows, _keep_id: the members of each group of equal texts, as keep_one() takes them."""
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_k"), F.col(text_col).alias("_t"))
     id_type = texts.schema["_id"].dataType.simpleString()
-    recipes = cut(texts.mapInArrow(lean(_recipes(digest)), f"_id {id_type}, _k bigint, _bytes bigint, _chunks array<binary>"))
+    recipes = cut(arrow_map(texts, _recipes(digest), f"_id {id_type}, _k bigint, _bytes bigint, _chunks array<binary>"))
     shared = ["_bytes", "_chunks"]
     groups = recipes.groupBy("_id", "_k", *shared).agg(F.count("*").alias("_rows"))
     # A text can only have a copy if its recipe, taken by digests, occurs twice.
@@ -90,10 +90,10 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
     twice = recipes.select(recipe).groupBy("_r").count().where("count > 1").select("_r")
     groups = groups.withColumn("_r", recipe).join(twice, "_r", "left_semi").drop("_r")
     groups = cut(groups)
-    n = groups.count()
+    n = size_of(groups.select("_id", "_k"))
     wanted = groups.select(F.col("_id").alias("_gid"), F.col("_k").alias("_gk"))
     moved = join_checked(texts, wanted, F.col("_id").eqNullSafe(F.col("_gid")) & (F.col("_k") == F.col("_gk")), "left_semi", n)
-    contents = moved.select("_t").mapInArrow(lean(_contents(digest)), "_chunk binary, _content binary").distinct()
+    contents = arrow_map(moved.select("_t"), _contents(digest), "_chunk binary, _content binary").distinct()
     ambiguous = cut(contents.groupBy("_chunk").count().where("count > 1").select("_chunk"))
     if not ambiguous.isEmpty():
         groups = _verified(groups, texts, contents.join(ambiguous, "_chunk", "left_semi"), digest, n)
@@ -117,7 +117,7 @@ def _verified(groups: DataFrame, texts: DataFrame, ambiguous: DataFrame, digest:
     id_type = texts.schema["_id"].dataType.simpleString()
     keys = groups.select(F.col("_id").alias("_gid"), F.col("_k").alias("_gk"))
     same = F.col("_id").eqNullSafe(F.col("_gid")) & (F.col("_k") == F.col("_gk"))
-    placed = join_checked(texts.dropDuplicates(["_id", "_k"]), keys, same, "left_semi", n).mapInArrow(run, f"_id {id_type}, _k bigint, _at int, _chunk binary, _content binary")
+    placed = arrow_map(join_checked(texts.dropDuplicates(["_id", "_k"]), keys, same, "left_semi", n), run, f"_id {id_type}, _k bigint, _at int, _chunk binary, _content binary")
     ranked = ambiguous.withColumn("_rank", F.row_number().over(Window.partitionBy("_chunk").orderBy("_content")))
     placed = placed.join(ranked, ["_chunk", "_content"], "left").select("_id", "_k", "_at", F.concat("_chunk", F.coalesce(F.col("_rank"), F.lit(0)).cast("string").cast("binary")).alias("_chunk"))
     lists = placed.groupBy(F.col("_id").alias("_gid"), F.col("_k").alias("_gk")).agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", "_chunk"))), lambda x: x["_chunk"]).alias("_verified"))

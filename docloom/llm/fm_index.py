@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import INF, K1, U64, cut, join_checked, mix, room, row_of, shingles, slices, text_of, word_hashes, word_spans
+from docloom.llm.common import INF, K1, U64, arrow_map, cut, join_checked, mix, room, row_of, shingles, size_of, slices, text_of, word_hashes, word_spans
 
 MIN_WORDS = 50
 GRAM = 25
@@ -390,7 +390,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     """The runs of words that other documents have too: doc_id, start_word, end_word (behind the last), n_words."""
     names = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
     texts = names.withColumn("_d", F.xxhash64("_id", "_t")).select("_id", "_d", "_t")
-    marks = texts.select("_d", "_t").mapInArrow(_anchors(least, gram), "_d bigint, _from int, _to int, _anchor bigint, _win bigint").repartition("_anchor")
+    marks = arrow_map(texts.select("_d", "_t"), _anchors(least, gram), "_d bigint, _from int, _to int, _anchor bigint, _win bigint").repartition("_anchor")
     same, meet = Window.partitionBy("_anchor", "_win"), Window.partitionBy("_anchor")
     marks = marks.withColumn("_same", F.min("_d").over(same) != F.max("_d").over(same)).withColumn("_n", F.row_number().over(same.orderBy("_d", "_from")))
     marks = marks.withColumn("_meet", F.min("_d").over(meet) != F.max("_d").over(meet)).withColumn("_open", F.max(~F.col("_same")).over(meet))
@@ -401,22 +401,22 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     placed = spans.groupBy("_d").agg(F.collect_list(F.struct("_from", "_to", "_anchor", F.col("_same").alias("_common"))).alias("_spans"))
     wanted = spans.select(F.col("_d").alias("_w")).distinct()
     # Of the texts without windows nothing is moved, as long as the list of those with windows is short.
-    some = join_checked(texts.select("_d", "_t"), wanted, F.col("_d") == F.col("_w"), "left_semi", n_spans).dropDuplicates(["_d"])
-    windows = some.join(placed, "_d").select("_d", "_t", "_spans").mapInArrow(_windows, "_d bigint, _from int, _anchor bigint, _common boolean, _text binary")
+    some = join_checked(texts.select("_d", "_t"), wanted, F.col("_d") == F.col("_w"), "left_semi", 32 * n_spans).dropDuplicates(["_d"])
+    windows = arrow_map(some.join(placed, "_d").select("_d", "_t", "_spans"), _windows, "_d bigint, _from int, _anchor bigint, _common boolean, _text binary")
     shard = F.pmod(F.xxhash64("_anchor"), F.lit(max(1, -(-(total or 0) // shard_words)))).cast("int")
     parts = cut(spans.groupBy(shard.alias("_shard")).agg(F.ceil(F.sum(F.col("_to") - F.col("_from")) / part_words).cast("int").alias("_parts")).where("_parts > 1"))
     windows = windows.withColumn("_shard", shard)
-    if n_parts := parts.count():
+    if n_parts := size_of(parts):
         windows = join_checked(windows, parts, "_shard", "left", n_parts)
         own = F.pmod("_d", F.coalesce("_parts", F.lit(1))).cast("int")
         windows = windows.withColumn("_own", own).withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).where("_part = _own or not _common").withColumn("_guest", (F.col("_part") != F.col("_own")).cast("int"))
     else:
         windows = windows.withColumn("_part", F.lit(0)).withColumn("_guest", F.lit(0))
     rows = windows.select("_shard", "_part", "_guest", "_d", "_from", "_common", "_text").repartition("_shard", "_part").sortWithinPartitions("_shard", "_part", "_guest")
-    hits = rows.mapInArrow(_search(least), "_d bigint, _from int, _to int").unionByName(done)
+    hits = arrow_map(rows, _search(least), "_d bigint, _from int, _to int").unionByName(done)
     w = Window.partitionBy("_d").orderBy("_from", "_to")
     runs = hits.withColumn("_new", (F.col("_from") > F.coalesce(F.max("_to").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int"))
     runs = runs.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy("_d", "_run").agg(F.min("_from").alias("_from"), F.max("_to").alias("_to"))
     runs = cut(runs)
-    named = join_checked(names.select("_id", F.xxhash64("_id", "_t").alias("_nd")), runs, F.col("_nd") == F.col("_d"), "inner", runs.count())
+    named = join_checked(names.select("_id", F.xxhash64("_id", "_t").alias("_nd")), runs, F.col("_nd") == F.col("_d"), "inner", size_of(runs))
     return named.select(F.col("_id").alias("doc_id"), F.col("_from").alias("start_word"), F.col("_to").alias("end_word"), (F.col("_to") - F.col("_from")).alias("n_words")).distinct()

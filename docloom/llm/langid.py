@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from docloom.llm.common import K1, K2, U64, lean, reduce_rows, slices, text_of
+from docloom.llm.common import K1, K2, U64, arrow_map, reduce_rows, slices, text_of
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -92,7 +92,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         bound = (1 << 63) - 1 if share >= 1 else int(-(1 << 63) + share * (1 << 64))
         wanted = wanted | ((F.col("_l") == lang) & (F.col("_key") <= F.lit(bound)))
     chosen = rows.select(F.col(text_col).alias("_t"), F.col(lang_col).alias("_l"), key.alias("_key")).where(wanted).drop("_key")
-    counts = chosen.mapInArrow(lean(_counts(langs, buckets)), "_l int, _b int, _n bigint").groupBy("_l", "_b").agg(F.sum("_n").alias("_n"))
+    counts = arrow_map(chosen, _counts(langs, buckets), "_l int, _b int, _n bigint").groupBy("_l", "_b").agg(F.sum("_n").alias("_n"))
     table = counts.toArrow()
     m = np.full((buckets, len(langs)), ALPHA)
     m[table.column("_b").to_numpy(), table.column("_l").to_numpy()] += table.column("_n").to_numpy()
@@ -154,7 +154,7 @@ def classify(rows: DataFrame, model: tuple[list[str], np.ndarray], min_posterior
     """rows with _lang and _posterior. The text is a column _t, which goes, or the field text_col of a column _d, which stays."""
     spread = rows.sparkSession.sparkContext.broadcast((model[0], np.asfortranarray(model[1]), *expected(model[1])))
     schema = StructType([f for f in rows.schema if f.name != "_t"]).add("_lang", "string").add("_posterior", "double")
-    return rows.mapInArrow(lean(_classify(spread, min_posterior, text_col)), schema)
+    return arrow_map(rows, _classify(spread, min_posterior, text_col), schema)
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

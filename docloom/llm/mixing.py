@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import cut, join_checked
+from docloom.llm.common import cut, join_checked, size_of
 
 #: Weight in the sampling by the quality label.
 QUALITY = {1: 1.0, 0: 0.25, None: 0.5}
@@ -103,6 +103,6 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, int] | None = N
     _, per = plan(docs, labels, weights, budget, id_col, text_col, source_col)
     best = _best(labels)
     keyed = docs.select(F.struct("*").alias("_d"), F.col(id_col).alias("_id"), F.col(source_col).alias("_source"))
-    keyed = join_checked(keyed, best, F.col("_id") == F.col("_lid"), "left", best.count())
+    keyed = join_checked(keyed, best, F.col("_id") == F.col("_lid"), "left", size_of(best))
     out = keyed.withColumn("_key", _key()).join(per, F.col("_source").eqNullSafe(F.col("_s"))).withColumn("_copies", _copies())
     return out.where("_copies > 0").select("_d", F.explode(F.array_repeat(F.lit(0), F.col("_copies"))).alias("_n")).select("_d.*")

@@ -31,13 +31,13 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import lean, slices, text_of
+from docloom.llm.common import arrow_map, slices, text_of
 
 SPACE = "▁"
 #: Parts with more characters are walked over one by one, and so are the last FEW parts that are left of a slice.
 LONG, FEW = 64, 12
 #: Bytes of text that are encoded, or pieces that are decoded, at a time; a longer text comes alone.
-SLICE = 1 << 21
+SLICE = 1 << 20
 #: Pairs of pieces of which the walk one by one remembers whether they are compatible.
 REMEMBER = 1 << 15
 
@@ -449,7 +449,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     with open(model_path, "rb") as f:
         given = docs.sparkSession.sparkContext.broadcast(tables(f.read()))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-    return rows.mapInArrow(lean(_encode(given)), f"doc_id {rows.schema['_id'].dataType.simpleString()}, pieces array<int>, n_pieces int, round_trip boolean")
+    return arrow_map(rows, _encode(given), f"doc_id {rows.schema['_id'].dataType.simpleString()}, pieces array<int>, n_pieces int, round_trip boolean")
 
 
 def decode_batch(codec: Codec, pieces: pa.Array) -> pa.Array:
@@ -485,4 +485,4 @@ def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", pieces_c
     with open(model_path, "rb") as f:
         given = encoded.sparkSession.sparkContext.broadcast(tables(f.read()))
     rows = encoded.select(F.col(id_col).alias("_id"), F.col(pieces_col).alias("_p"))
-    return rows.mapInArrow(lean(_decode(given)), f"doc_id {rows.schema['_id'].dataType.simpleString()}, text string")
+    return arrow_map(rows, _decode(given), f"doc_id {rows.schema['_id'].dataType.simpleString()}, text string")

@@ -30,16 +30,17 @@ from docloom.llm.common import (
     INF,
     K1,
     U64,
+    arrow_map,
     cut,
     fixed_binary,
     join_checked,
     keep_one,
-    lean,
     mix,
     reduce_rows,
     room,
     row_of,
     shingles,
+    size_of,
     slices,
     text_of,
     word_hashes,
@@ -345,9 +346,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, members: DataFrame) -> DataFra
     if not n:
         return pairs
     nodes = cut(pairs.select(F.col("_x").alias("_node")).union(pairs.select("_y")).distinct())
-    one = cut(join_checked(members, nodes, "_node", "inner", nodes.count()).groupBy("_node").agg(F.min("_k").alias("_k")))
-    found = join_checked(texts.select("_k", "_t"), one, "_k", "inner", one.count()).select("_node", "_t").dropDuplicates(["_node"])
-    sets = cut(found.mapInArrow(lean(_sets), "_node bigint, _set array<bigint>"))
+    one = cut(join_checked(members, nodes, "_node", "inner", size_of(nodes)).groupBy("_node").agg(F.min("_k").alias("_k")))
+    found = join_checked(texts.select("_k", "_t"), one, "_k", "inner", size_of(one)).select("_node", "_t").dropDuplicates(["_node"])
+    sets = cut(arrow_map(found, _sets, "_node bigint, _set array<bigint>"))
     a, b = (sets.select(F.col("_node").alias(c), F.col("_set").alias(f"_s{c}")) for c in ("_x", "_y"))
     both = pairs.join(a, "_x").join(b, "_y").withColumn("_n", F.size(F.array_intersect("_s_x", "_s_y")))
     return both.where(F.col("_n") >= SIMILARITY * (F.size("_s_x") + F.size("_s_y") - F.col("_n"))).select("_x", "_y")
@@ -357,12 +358,12 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
     """Rows _id, _k, _keep, _rows, _keep_id: the members of each group of near copies, as keep_one() takes them."""
     id_type = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_k"), F.col(text_col).alias("_t"))
-    signed = cut(texts.mapInArrow(lean(_sign), f"_id {id_type}, _k bigint, _print binary, _keys array<bigint>"))
+    signed = cut(arrow_map(texts, _sign, f"_id {id_type}, _k bigint, _print binary, _keys array<bigint>"))
     # A node is a fingerprint; two that shared this hash would only be compared with others as one.
     node = F.xxhash64("_print").alias("_node")
     nodes = signed.select(node, "_print", F.explode("_keys").alias("_key")).distinct()
     heavy = cut(signed.select(node, F.explode("_keys").alias("_key")).groupBy("_key").agg(F.approx_count_distinct("_node").alias("_n")).where(F.col("_n") > TILE_ROWS).select(F.col("_key"), F.ceil(F.col("_n") / TILE_ROWS).cast("int").alias("_tiles")))
-    n_heavy = heavy.count()
+    n_heavy = size_of(heavy)
     if n_heavy:
         tiled = join_checked(nodes, heavy, "_key", "left", n_heavy).withColumn("_tiles", F.coalesce("_tiles", F.lit(1)))
         own = F.pmod(F.xxhash64("_node", F.lit(7)), F.col("_tiles")).cast("int")
@@ -370,13 +371,13 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
     else:
         nodes = nodes.select("_key", "_node", "_print", F.lit(0).alias("_a"), F.lit(0).alias("_b"))
     sorted_keys = nodes.repartition("_key", "_a", "_b").sortWithinPartitions("_key", "_a", "_b", "_node")
-    edges = cut(sorted_keys.mapInArrow(lean(_compare(radius)), "_x bigint, _y bigint, _sure boolean"))
+    edges = cut(arrow_map(sorted_keys, _compare(radius), "_x bigint, _y bigint, _sure boolean"))
     open_pairs = edges.where("not _sure").select("_x", "_y").distinct()
     roots = components(edges.where("_sure").select("_x", "_y").unionByName(_verified(open_pairs, texts, signed.select(node, "_k"))))
     members = signed.groupBy("_id", "_k", node).agg(F.count("*").alias("_rows"))
     copied = members.groupBy("_node").agg(F.sum("_rows").alias("_n")).where("_n > 1").select("_node")
     reach = cut(copied.join(roots.withColumnRenamed("_x", "_node"), "_node", "full").select("_node", F.coalesce("_root", "_node").alias("_root")).unionByName(roots.select(F.col("_root").alias("_node"), "_root")).distinct())
-    members = join_checked(members, reach, "_node", "inner", reach.count())
+    members = join_checked(members, reach, "_node", "inner", size_of(reach))
     first = members.groupBy("_root").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("id"), F.col("_k").alias("k"))).alias("_first"))
     members = members.join(first, "_root")
     return members.select("_id", "_k", (F.col("_id").eqNullSafe(F.col("_first.id")) & (F.col("_k") == F.col("_first.k"))).alias("_keep"), "_rows", F.col("_first.id").alias("_keep_id"))
