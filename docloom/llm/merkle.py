@@ -6,7 +6,8 @@ different first letters. An odd node of a level moves up as it is.
 
 Defined cases: a null text has a null root and no parts; the empty text is one section of one empty paragraph; rows
 with one id are fingerprinted each; for edits, of several rows with one id (or without one) those with equal roots are
-settled first and the others paired in the order of their texts, and a row that only one side has is reported as added or removed as a whole; other columns are ignored.
+settled first and the others paired in the order of their texts, and a row that only one side has is reported as added or removed as a whole, with or without an id; a
+text that became null has all its paragraphs removed; an empty table's rows are all added or removed; very long texts are taken whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import cut, join_checked
+from docloom.llm.common import cut, join_checked, size_of
 
 
 def _up(level: Column) -> Column:
@@ -88,12 +89,12 @@ def _root_of(text: Column) -> Column:
 def versions(old: DataFrame, new: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Where two versions differ: doc_id, old_root, new_root, section, paragraph (numbers from 0; null for a whole document), change.
 
-    Roots are compared first, then the trees over sections, then those over the paragraphs of differing sections. Only texts
-    whose roots differ are moved.
+    Roots are compared first, then the trees over sections, then those over the paragraphs of differing sections; a section or
+    paragraph that was put in or taken out is one edit, and what follows it is none. Only texts whose roots differ are moved.
     """
     roots = [df.select(F.col(id_col).alias("_id"), _root_of(F.col(text_col)).alias("_root"), F.lit(n).alias("_n")) for df, n in ((old, 1), (new, -1))]
     rest = cut(roots[0].unionByName(roots[1]).groupBy("_id", "_root").agg(F.sum("_n").alias("_n")).where("_n <> 0"))
-    n = rest.count()
+    n = size_of(rest)
 
     def side(df: DataFrame, sign: int) -> DataFrame:
         need = rest.where(F.col("_n") * sign > 0).select(F.col("_id").alias("_i"), "_root", F.abs("_n").cast("int").alias("_copies"))
@@ -110,16 +111,36 @@ def versions(old: DataFrame, new: DataFrame, id_col: str = "doc_id", text_col: s
     whole = pairs.where(~both).select("_id", "old_root", "new_root", number.alias("_si"), number.alias("_pi"), F.when(F.col("_a").isNull(), "added").otherwise("removed").alias("change"))
     parts = lambda c: F.coalesce(_sections(F.col(c)), F.array().cast("array<array<string>>"))
     inner = pairs.where(both).select("_id", "old_root", "new_root", parts("_a._t").alias("_pa"), parts("_b._t").alias("_pb"))
-    inner = inner.withColumn("_si", F.explode(descend(levels(F.transform("_pa", _section)), levels(F.transform("_pb", _section)))))
-    pa, pb = F.get("_pa", F.col("_si")), F.get("_pb", F.col("_si"))
+    inner = inner.withColumn("_sa", F.transform("_pa", _section)).withColumn("_sb", F.transform("_pb", _section))
+    inner = _differences(inner, "_sa", "_sb").select("_id", "old_root", "new_root", F.col("_at").alias("_si"), "_change", "_pa", "_pb")
     none = F.array().cast("array<string>")
-    inner = inner.select("_id", "old_root", "new_root", "_si", F.coalesce(pa, none).alias("_x"), F.coalesce(pb, none).alias("_y"))
-    inner = inner.withColumn("_pi", F.explode(descend(levels(F.col("_x")), levels(F.col("_y")))))
-    change = F.when(F.get("_x", F.col("_pi")).isNull(), "added").when(F.get("_y", F.col("_pi")).isNull(), "removed").otherwise("changed")
-    found = whole.unionByName(inner.select("_id", "old_root", "new_root", "_si", "_pi", change.alias("change")))
+    old_part = F.when(F.col("_change") != "added", F.get("_pa", F.col("_si")))
+    new_part = F.when(F.col("_change") != "removed", F.get("_pb", F.col("_si")))
+    inner = inner.select("_id", "old_root", "new_root", "_si", F.coalesce(old_part, none).alias("_x"), F.coalesce(new_part, none).alias("_y"))
+    inner = _differences(inner, "_x", "_y")
+    found = whole.unionByName(inner.select("_id", "old_root", "new_root", "_si", F.col("_at").alias("_pi"), F.col("_change").alias("change")))
     return found.select(F.col("_id").alias("doc_id"), "old_root", "new_root", F.col("_si").alias("section"), F.col("_pi").alias("paragraph"), "change")
 
 
+def _differences(rows: DataFrame, x: str, y: str) -> DataFrame:
+    """rows for each place in which two lists of hashes differ: _at and _change, by descent into the trees over them.
+
+    Lists of one length are compared place by place. Else something was put in or taken out: what they have in common at the
+    beginning and at the end, as far as the leftmost branches that differ in the trees from either side, is set aside, and the rest is compared place by
+    place; what is left over in one of them was added (its place in the new list) or removed (its place in the old one).
+    """
+    n, m = F.size(x), F.size(y)
+    first = lambda a, b: F.array_min(descend(levels(a), levels(b)))
+    out = rows.withColumn("_pre", F.when(n == m, 0).otherwise(first(F.col(x), F.col(y))))
+    back = F.when(n == m, 0).otherwise(F.least(first(F.reverse(x), F.reverse(y)), F.least(n, m) - F.col("_pre")))
+    out = out.withColumn("_suf", back)
+    for c, k in ((x, n), (y, m)):
+        out = out.withColumn(f"{c}m", F.slice(c, F.col("_pre") + 1, k - F.col("_pre") - F.col("_suf")))
+    out = out.withColumn("_k", F.explode(descend(levels(F.col(f"{x}m")), levels(F.col(f"{y}m")))))
+    change = F.when(F.col("_k") >= F.size(f"{x}m"), "added").when(F.col("_k") >= F.size(f"{y}m"), "removed").otherwise("changed")
+    return out.withColumn("_at", F.col("_pre") + F.col("_k")).withColumn("_change", change)
+
+
 def edits(old: DataFrame, new: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The edits of versions() without the roots: doc_id, section, paragraph, change."""
     return versions(old, new, id_col, text_col).select("doc_id", "section", "paragraph", "change")

@@ -20,10 +20,10 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def revised(docs: DataFrame) -> DataFrame:
-    """A second version: of some documents a character is another one, some have one more section, some are gone, some are new."""
+    """A second version: of some documents a character is another one, some have one more section or a line before the others, some lack their first line, some are gone, some are new."""
     text, n, i = F.col("text"), F.length("text"), F.col("doc_id")
     changed = F.concat(F.substring(text, F.lit(1), F.floor(n / 2).cast("int")), F.lit("~"), F.substring(text, F.floor(n / 2).cast("int") + 2, n))
-    kept = docs.where(~(i % 101).eqNullSafe(3)).select("doc_id", F.when(i % 53 == 7, changed).when(i % 71 == 5, F.concat(text, F.lit("\n\nOne more section."))).otherwise(text).alias("text"))
+    kept = docs.where(~(i % 101).eqNullSafe(3)).select("doc_id", F.when(i % 53 == 7, changed).when(i % 71 == 5, F.concat(text, F.lit("\n\nOne more section."))).when(i % 61 == 8, F.concat(F.lit("A line before.\n"), text)).when(i % 59 == 2, F.regexp_replace(text, r"^[^\n]*\n", "")).otherwise(text).alias("text"))
     return kept.unionByName(docs.where(i % 131 == 9).select((-i).alias("doc_id"), "text"))
 
 
@@ -137,15 +137,53 @@ def _tree(name: str, key: str, source: str) -> str:
   FROM {name} WHERE n > 1 GROUP BY {key}, i // 2, n)"""
 
 
+def _prints(n: str, source: str) -> str:
+    """Recursive tables over the texts of ``source``: sections, paragraphs (their hashes), the trees' levels and the documents' roots, all named with ``n``."""
+    return f"""
+sections{n} AS (SELECT doc_id, unnest(l) AS s, unnest(range(len(l))) AS si FROM (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS l FROM {source} WHERE text IS NOT NULL)),
+paragraphs{n} AS (SELECT doc_id, si, sha256('p' || unnest(l)) AS h, unnest(range(len(l))) AS i FROM (SELECT doc_id, si, string_split(s, chr(10)) AS l FROM sections{n})),
+{_tree(f"t1{n}", "doc_id, si", f"paragraphs{n}")},
+roots{n} AS (SELECT doc_id, si AS i, sha256('s' || h) AS h FROM t1{n} WHERE n = 1),
+{_tree(f"t2{n}", "doc_id", f"roots{n}")},
+prints{n} AS (SELECT doc_id, CASE WHEN h IS NOT NULL THEN sha256('d' || h) END AS root FROM (SELECT doc_id FROM {source}) LEFT JOIN (SELECT doc_id, h FROM t2{n} WHERE n = 1) USING (doc_id))"""
+
+
 OP1 = f"""
-WITH RECURSIVE sections AS (SELECT doc_id, unnest(l) AS s, unnest(range(len(l))) AS si FROM (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
-paragraphs AS (SELECT doc_id, si, sha256('p' || unnest(l)) AS h, unnest(range(len(l))) AS i FROM (SELECT doc_id, si, string_split(s, chr(10)) AS l FROM sections)),
-{_tree("t1", "doc_id, si", "paragraphs")},
-roots AS (SELECT doc_id, si AS i, sha256('s' || h) AS h FROM t1 WHERE n = 1),
-{_tree("t2", "doc_id", "roots")},
+WITH RECURSIVE {_prints("", "documents")},
 counts AS (SELECT doc_id, count(DISTINCT si) AS s, count(*) AS p FROM paragraphs GROUP BY doc_id)
-SELECT doc_id, CASE WHEN h IS NOT NULL THEN sha256('d' || h) END AS root, CAST(coalesce(s, 0) AS INTEGER) AS n_sections, CAST(coalesce(p, 0) AS INTEGER) AS n_paragraphs
-FROM (SELECT doc_id FROM documents) LEFT JOIN (SELECT doc_id, h FROM t2 WHERE n = 1) USING (doc_id) LEFT JOIN counts USING (doc_id)
+SELECT doc_id, root, CAST(coalesce(s, 0) AS INTEGER) AS n_sections, CAST(coalesce(p, 0) AS INTEGER) AS n_paragraphs FROM prints LEFT JOIN counts USING (doc_id)
+"""
+
+
+def _middles(key: str) -> str:
+    """Of lists a and b, by ``key``: what they don't have in common at the ends (nothing is set aside if they are of one length), and how much comes before it."""
+    return f"""SELECT {key}, pre, a[pre + 1 : len(a) - suf] AS a, b[pre + 1 : len(b) - suf] AS b FROM (
+  SELECT {key}, a, b, pre, CASE WHEN len(a) = len(b) THEN 0 ELSE least(len(list_filter(range(1, least(len(a), len(b)) + 1), lambda k: list_reverse(a)[1 : k] = list_reverse(b)[1 : k])), least(len(a), len(b)) - pre) END AS suf FROM (
+    SELECT {key}, a, b, CASE WHEN len(a) = len(b) THEN 0 ELSE len(list_filter(range(1, least(len(a), len(b)) + 1), lambda k: a[1 : k] = b[1 : k])) END AS pre FROM {{}}))"""
+
+
+def _places(key: str) -> str:
+    """A row for each place in which the middles differ."""
+    return f"""SELECT {key}, pre + k AS i, CASE WHEN k >= len(a) THEN 'added' WHEN k >= len(b) THEN 'removed' ELSE 'changed' END AS change, a[k + 1] AS x, b[k + 1] AS y
+  FROM (SELECT *, unnest(range(greatest(len(a), len(b)))) AS k FROM ({{}})) WHERE a[k + 1] IS DISTINCT FROM b[k + 1]"""
+
+
+_SECTIONS = "(SELECT doc_id, coalesce(sa, []) AS a, coalesce(sb, []) AS b FROM both_texts)"
+_PARAGRAPHS = "(SELECT doc_id, si, CASE WHEN change <> 'added' THEN string_split(x, chr(10)) ELSE [] END AS a, CASE WHEN change <> 'removed' THEN string_split(y, chr(10)) ELSE [] END AS b FROM sections_differ)"
+OP1_EDITS = f"""
+WITH RECURSIVE revised AS (
+  SELECT doc_id, CASE WHEN doc_id % 53 = 7 THEN substr(text, 1, length(text) // 2) || '~' || substr(text, length(text) // 2 + 2) WHEN doc_id % 71 = 5 THEN text || chr(10) || chr(10) || 'One more section.'
+    WHEN doc_id % 61 = 8 THEN 'A line before.' || chr(10) || text WHEN doc_id % 59 = 2 THEN regexp_replace(text, '^[^\\n]*\\n', '') ELSE text END AS text
+  FROM documents WHERE doc_id % 101 <> 3
+  UNION ALL SELECT -doc_id, text FROM documents WHERE doc_id % 131 = 9),
+{_prints("_a", "documents")},
+{_prints("_b", "revised")},
+pairs AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.root AS old_root, b.root AS new_root, a.doc_id IS NULL AS is_new, b.doc_id IS NULL AS is_gone FROM prints_a a FULL JOIN prints_b b ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL OR a.root IS DISTINCT FROM b.root),
+both_texts AS (SELECT doc_id, string_split(o.text, chr(10) || chr(10)) AS sa, string_split(r.text, chr(10) || chr(10)) AS sb FROM pairs JOIN documents o USING (doc_id) JOIN revised r USING (doc_id) WHERE NOT is_new AND NOT is_gone),
+sections_differ AS (SELECT doc_id, i AS si, change, x, y FROM ({_places("doc_id").format(_middles("doc_id").format(_SECTIONS))})),
+edits AS (SELECT doc_id, si, i, change FROM ({_places("doc_id, si").format(_middles("doc_id, si").format(_PARAGRAPHS))}))
+SELECT doc_id, old_root, new_root, CAST(si AS INTEGER) AS section, CAST(i AS INTEGER) AS paragraph, change FROM pairs JOIN edits USING (doc_id)
+UNION ALL SELECT doc_id, old_root, new_root, NULL, NULL, CASE WHEN is_new THEN 'added' ELSE 'removed' END FROM pairs WHERE is_new OR is_gone
 """
 
 OP5 = """
@@ -188,4 +226,4 @@ SELECT doc_id, keep_doc_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY t
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_document_fingerprints": OP1, "op3_mixing": OP3, "op5_chat_formatting": OP5, "op7_warc_fixity": OP7, "op10_exact_dedup": OP10}
+    return {"op1_document_edits": OP1_EDITS, "op1_document_fingerprints": OP1, "op3_mixing": OP3, "op5_chat_formatting": OP5, "op7_warc_fixity": OP7, "op10_exact_dedup": OP10}

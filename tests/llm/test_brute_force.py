@@ -236,20 +236,56 @@ def test_license_spans(spark, data_dir):
     assert [(r.license, r.start_word, r.end_word) for r in got[6]] == [("all-rights-reserved", 0, 3)]
 
 
-def test_license_scan_finds_every_exact_occurrence(spark, data_dir):
-    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data_dir}/documents.parquet").select("doc_id", "text").collect()]
-    got = {(r.doc_id, r.license, r.start_word): r for r in license_scan.scan(docs(spark, rows)).collect()}
-    want = set()
+def _common(x, y):
+    """Length of the longest common subsequence, plainly."""
+    row = [0] * (len(y) + 1)
+    for a in x:
+        last = 0
+        for k, b in enumerate(y, 1):
+            last, row[k] = row[k], last + 1 if a == b else max(row[k], row[k - 1])
+    return row[-1]
+
+
+def test_license_scan_like_brute_force(spark, data_dir):
+    """Whatever a search of whole texts finds, without votes or diagonals, is found, in the table's documents and in made ones; and whatever is found is one, by a plain comparison."""
+    rng = random.Random(3)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data_dir}/documents.parquet").where("doc_id % 7 = 0 or lower(text) like '%licen%'").select("doc_id", "text").collect()]
+    names = sorted(license_scan.TEMPLATES)
+    for i in range(120):
+        parts = []
+        for _ in range(rng.randint(0, 5)):
+            parts += _words(rng, rng.choice([0, 0, 1, 2, 5, 40]), 10**6)
+            w = license_scan.TEMPLATES[rng.choice(names)].split()
+            for _ in range(rng.choice([0, 0, 1, 2, len(w) // 8])):
+                k = rng.randrange(len(w))
+                w[k : k + rng.choice([0, 1])] = [f"x{rng.randrange(10**6)}"] * rng.choice([0, 1])
+            parts += w
+        rows.append((10**6 + i, " ".join(parts)))
+    got = {}
+    for r in license_scan.scan(docs(spark, rows)).collect():
+        got.setdefault((r.doc_id, r.license), []).append((r.start_word, r.end_word, r.matched))
+    checked = 0
     for i, text in rows:
         w = license_scan._words(text)
         for name, t in license_scan.TEMPLATES.items():
-            t = license_scan._words(t)
-            want |= {(i, name, k) for k in range(len(w) - len(t) + 1) if w[k : k + len(t)] == t}
-    assert want and want <= set(got)
-    text = dict(rows)
-    for (i, name, a), r in got.items():
-        t = license_scan._words(license_scan.TEMPLATES[name])
-        assert r.coverage >= license_scan.MIN_WORDS and license_scan.align(license_scan._words(text[i])[a : r.end_word], t)[2] == r.matched
+            t, mine = license_scan._words(t), got.pop((i, name), [])
+            for x, y, n in license_scan.occurrences(w, t):
+                assert any(a < y and x < b and m >= n for a, b, m in mine), (i, name, x, y)
+                checked += 1
+            for (x, y, n), after in itertools.zip_longest(sorted(mine), sorted(mine)[1:]):
+                assert _common(w[x:y], t) >= n >= license_scan.MIN_WORDS * len(t) and y - x <= license_scan.LONGEST * len(t) + license_scan.SLACK
+                assert after is None or y <= after[0]
+    assert checked > 150 and not got
+
+
+def test_every_one_of_many_occurrences_is_reported(spark):
+    notice = "Released under the MIT License"
+    rows = [(1, "All rights reserved. " * 2), (2, "All rights reserved. " * 50), (3, "All rights reserved by " * 30), (4, "Released under an MIT License"), (5, f"{notice} " * 40), (6, license_scan.TEMPLATES["mit-whole"] + " " + license_scan.TEMPLATES["mit-whole"])]
+    got = license_scan.scan(docs(spark, rows)).collect()
+    count = lambda i, name: sum(r.doc_id == i and r.license == name for r in got)
+    assert [count(i, "all-rights-reserved") for i in (1, 2, 3)] == [2, 50, 30]
+    assert (count(4, "mit-notice"), count(5, "mit-notice"), count(6, "mit-whole"), count(6, "mit")) == (1, 40, 2, 2)
+    assert {r.spdx_id for r in got if r.doc_id == 6} == {"MIT"}
 
 
 # --- language ID ----------------------------------------------------------------------------------------------------
