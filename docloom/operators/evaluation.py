@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.checkpoints import let
+from docloom.checkpoints import cut, let
 
 TRUTH = "assigned"
 #: By class, what says whether an expected and an actual value are the same.
@@ -76,6 +76,7 @@ def by_source(answers: DataFrame, compare: Comparators | None = None, sum_missin
     count = lambda test: F.sum(F.coalesce(F.size(F.filter("_m", test)), F.lit(0)))
     met = lambda x: (x["status"] == "key") & (x["key"] != "") & (x["meta_n"] > 0)
     scores = rows.groupBy("source", "model").agg(F.count("*").alias("_n"), count(lambda x: x["correct"]).alias("total_correct"), count(met).alias("total_correct_meta_found"), F.coalesce(pick, F.lit(0)).alias("missing_answers"))
+    scores = cut(scores)  # read twice
     true = scores.where(F.col("model") == TRUTH).select("source", F.col("_n").alias("_t"))
     return scores.join(true, "source").select("source", "model", (F.col("_n") / F.col("_t")).alias("completion"), "total_correct", "total_correct_meta_found", "missing_answers")
 
@@ -101,7 +102,7 @@ def totals(scores: DataFrame) -> DataFrame:
 
 
 def evaluate(answers: DataFrame, compare: Comparators | None = None, sum_missing: bool = False) -> DataFrame:
-    return totals(by_source(first_answers(answers), compare, sum_missing))
+    return totals(by_source(cut(first_answers(answers)), compare, sum_missing))
 
 
 def costs(expenses: DataFrame) -> DataFrame:

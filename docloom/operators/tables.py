@@ -110,9 +110,13 @@ def cells(gridded: DataFrame, *keys: str) -> DataFrame:
 
 
 def line_items(structured: DataFrame, *keys: str) -> DataFrame:
-    """One row for each line item and value: the keys, li_idx, caption, col, value."""
-    items = structured.select(*keys, "numeric_cols", F.posexplode("line_items").alias("li_idx", "_i"))
-    return items.select(*keys, "li_idx", F.col("_i.caption").alias("caption"), F.posexplode("_i.values").alias("_k", "value"), "numeric_cols").select(*keys, "li_idx", "caption", F.get("numeric_cols", F.col("_k")).alias("col"), "value")
+    """One row for each line item and value: the keys, li_idx, caption, col, value.
+
+    Outer explosions: the optimizer would push tests for empty lists down into what makes the tables, again and again.
+    """
+    items = structured.select(*keys, "numeric_cols", F.posexplode_outer("line_items").alias("li_idx", "_i"))
+    rows = items.select(*keys, "li_idx", F.col("_i.caption").alias("caption"), F.posexplode_outer("_i.values").alias("_k", "value"), "numeric_cols").where("_k is not null")
+    return rows.select(*keys, "li_idx", "caption", F.get("numeric_cols", F.col("_k")).alias("col"), "value")
 
 
 def merge_columns(row: Column, columns: list[int]) -> Column:

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docloom.checkpoints import cut
 from docloom.functions import answers as A
 from docloom.functions import json_repair as J
 from docloom.functions import numeric as N
@@ -434,7 +435,7 @@ def costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _eval_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies about orders, read as typed answers, beside the true ones."""
-    o = read(spark, sf_dir, "orders").join(_written(spark, sf_dir), "o_orderkey")
+    o = read(spark, sf_dir, "orders")
     total = F.concat(F.lit("The total is: "), F.format_number("o_totalprice", 2), F.lit(" USD."))
     wrong = F.when(F.col("o_orderkey") % 10 == 7, F.lit("unknown")).otherwise(total)
     currency = F.when(F.col("o_orderstatus") == "F", F.lit("in some money")).otherwise(F.when(F.col("o_custkey") % 3 == 0, F.lit("It is EUR, not $")).otherwise(F.lit("usd")))
@@ -461,7 +462,7 @@ def typed_answer_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT o_orderkey AS source, 'currency' AS class_id, 'main question' AS type, CASE WHEN o_custkey % 3 = 0 THEN 'EUR' ELSE 'USD' END AS expected, 'n/a' AS actual FROM orders WHERE o_orderstatus = 'F'
 UNION ALL SELECT o_orderkey, 'total', 'main question', CAST(o_totalprice::DECIMAL(18,2) AS VARCHAR), 'n/a' FROM orders WHERE o_orderkey % 10 = 7""")
 def error_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = E.first_answers(_eval_answers(spark, sf_dir))
+    kept = cut(E.first_answers(_eval_answers(spark, sf_dir)))
     return E.error_log(E.matched(kept)).where("model = 'rules'").select("source", "class_id", "type", "expected", "actual")
 
 

@@ -97,12 +97,39 @@ def strings(node: Node) -> list[str]:
     return [x.strip() for x in _walk(node) if isinstance(x, str) and x.strip()]
 
 
-def path(node: Node) -> str:
-    """The path of names from the root; of several siblings of one name each has its number, from 0."""
-    parts = []
+def _markup(node: Node) -> tuple:
+    """What tells siblings apart: name, attributes and content, without recursion."""
+    out, todo = [], [node]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, Node):
+            out.append((x.name, tuple(sorted(x.attrs.items()))))
+            todo += [None, *reversed(x.children)]
+        else:
+            out.append(x)
+    return tuple(out)
+
+
+def _places(parent: Node) -> dict[int, str]:
+    """The step to each child tag, worked out for all of them at once: of several of one name each has its number from 0; those that are alike share the first one's."""
+    same: dict[str, list[Node]] = {}
+    for c in parent.tags():
+        same.setdefault(c.name, []).append(c)
+    out = {}
+    for name, nodes in same.items():
+        first: dict[tuple, int] = {}
+        for k, c in enumerate(nodes):
+            out[id(c)] = f"/{name}" if len(nodes) == 1 else f"/{name}[{first.setdefault(_markup(c), k)}]"
+    return out
+
+
+def path(node: Node, known: dict[int, dict[int, str]] | None = None) -> str:
+    """The path of names from the root. known: the steps below nodes that were met before."""
+    known, parts = {} if known is None else known, []
     while node.parent is not None:
-        same = [s for s in node.parent.tags() if s.name == node.name]
-        parts.append(f"/{node.name}" if len(same) == 1 else f"/{node.name}[{next(i for i, s in enumerate(same) if s is node)}]")
+        if id(node.parent) not in known:
+            known[id(node.parent)] = _places(node.parent)
+        parts.append(known[id(node.parent)][id(node)])
         node = node.parent
     return "".join(reversed(parts))
 
@@ -133,13 +160,14 @@ def elements(html: str) -> list[dict]:
                 with_table.add(id(up))
                 up = up.parent
     out: list[dict] = []
+    known: dict[int, dict[int, str]] = {}
     todo: list[tuple[Node, str | None]] = [(root, None)]
     while todo:
         node, loose = todo.pop()
         if loose is not None:
-            out.append({"el_type": "text", "text": loose, "xpath": path(node), "rows": None})
+            out.append({"el_type": "text", "text": loose, "xpath": path(node, known), "rows": None})
         elif node.name == "table":
-            out.append({"el_type": "table", "text": None, "xpath": path(node), "rows": table_rows(node)})
+            out.append({"el_type": "table", "text": None, "xpath": path(node, known), "rows": table_rows(node)})
         elif node.hidden():
             continue
         elif id(node) in with_table:
@@ -147,7 +175,7 @@ def elements(html: str) -> list[dict]:
             todo += [(node, t) for t in reversed(rest)]
             todo += [(c, None) for c in reversed(node.tags()) if not c.name.startswith("xbrli:")]
         elif text := " ".join(strings(node)):
-            out.append({"el_type": "text", "text": text, "xpath": path(node), "rows": None})
+            out.append({"el_type": "text", "text": text, "xpath": path(node, known), "rows": None})
     return [e | {"element_index": i} for i, e in enumerate(out)]
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import csv
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,11 +43,18 @@ def parse(data: bytes, max_rows: int | None = None) -> list[list[str]]:
 def read_csv_tables(files: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Each file (source_identifier, content) as one table element with plain text cells. A file is parsed as a whole, as its rows have one width."""
 
-    @F.udf(ROWS)
-    def rows(content: bytes) -> list | None:
-        return None if content is None else [("body", [(v, 1) for v in r]) for r in parse(bytes(content), max_rows)]
+    cell = pa.struct([("val", pa.string()), ("colspan", pa.int32())])
+    kind = pa.list_(pa.struct([("row_type", pa.string()), ("values", pa.list_(cell))]))
 
-    return files.select("source_identifier", F.lit("tabular").alias("source_type"), F.lit(0).alias("element_index"), F.lit("table").alias("el_type"), F.lit(None).cast("string").alias("text"), rows("content").alias("rows"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, content in enumerate(batch.column("content")):
+                data = content.as_py()
+                rows = None if data is None else [{"row_type": "body", "values": [{"val": v, "colspan": 1} for v in r]} for r in parse(data, max_rows)]
+                yield pa.RecordBatch.from_arrays([batch.column("source_identifier").slice(i, 1), pa.array([rows], kind)], ["source_identifier", "rows"])
+
+    parsed = files.select("source_identifier", F.col("content").cast("binary").alias("content")).mapInArrow(run, f"source_identifier {files.schema['source_identifier'].dataType.simpleString()}, rows {ROWS}")
+    return parsed.select("source_identifier", F.lit("tabular").alias("source_type"), F.lit(0).alias("element_index"), F.lit("table").alias("el_type"), F.lit(None).cast("string").alias("text"), "rows")
 
 
 def from_pages(paragraphs: DataFrame) -> DataFrame:
