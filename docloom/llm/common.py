@@ -25,7 +25,9 @@ INF = U64(0xFFFFFFFFFFFFFFFF)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; in as many partitions as there are cores where it has fewer, as a single small file would keep one core busy."""
+    df, n = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df if name != "documents" or df.rdd.getNumPartitions() >= n else df.repartition(n)
 
 
 def cut(df: DataFrame) -> DataFrame:
