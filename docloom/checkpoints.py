@@ -32,6 +32,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, where it has fewer: a single small file would keep one core busy. Larger inputs stay as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
+def staged(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are worked out once for each row. The optimizer copies an expression into all that use it and pushes filters into it, but not through a generator."""
+    row = F.struct(*(c.alias(n) for n, c in columns.items()))
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    return df.select(*kept, F.explode(F.array(row)).alias("_staged")).select(*kept, *(F.col("_staged")[n].alias(n) for n in columns))
+
+
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """df with each row's number from 0 in the order of columns, by ranges: a range's rows are sorted in one task, and only the ranges' sizes come to the driver."""
     placed = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))

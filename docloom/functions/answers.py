@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docloom.checkpoints import let
 from docloom.functions.numeric import last_number
 from docloom.functions.text import entity, iso_date
 
@@ -36,12 +37,17 @@ def python_float(x: Column) -> Column:
 
 def parse_list(raw: Column, values: Column, default: Column) -> Column:
     """One of the listed values: equal to the text (or to what $ signs enclose), or else the first that is a word of it."""
-    low = F.lower(raw)
-    inner = F.regexp_extract(low, r"\$ ?(.+) ?\$", 1)
-    text = F.when(inner != "", F.trim(inner)).otherwise(low)
-    same = F.filter(values, lambda v: F.lower(v) == text)
-    inside = F.filter(values, lambda v: F.rlike(text, F.concat(F.lit(r"\b\Q"), F.lower(v), F.lit(r"\E\b"))))
-    return _result(F.coalesce(F.try_element_at(same, F.lit(1)), F.try_element_at(inside, F.lit(1))), default)
+
+    def text(low: Column) -> Column:
+        inner = F.regexp_extract(low, r"\$ ?(.+) ?\$", 1)
+        return F.when(inner != "", F.trim(inner)).otherwise(low)
+
+    def found(t: Column) -> Column:
+        same = F.filter(values, lambda v: F.lower(v) == t)
+        inside = F.filter(values, lambda v: F.rlike(t, F.concat(F.lit(r"\b\Q"), F.lower(v), F.lit(r"\E\b"))))
+        return F.coalesce(F.try_element_at(same, F.lit(1)), F.try_element_at(inside, F.lit(1)))
+
+    return let(let(let(F.lower(raw), text), found), lambda v: _result(v, default))
 
 
 def parse_multi(raw: Column, values: Column, default: Column) -> Column:
@@ -55,7 +61,7 @@ def parse_multi(raw: Column, values: Column, default: Column) -> Column:
 
 
 def parse_int(raw: Column, values: Column, default: Column) -> Column:
-    return _result(F.floor(F.abs(last_number(raw))).cast("string"), default)
+    return let(last_number(raw), lambda x: _result(F.floor(F.abs(x)).cast("string"), default))
 
 
 def parse_text(raw: Column, values: Column, default: Column) -> Column:
@@ -63,15 +69,17 @@ def parse_text(raw: Column, values: Column, default: Column) -> Column:
 
 
 def parse_numeric(raw: Column, values: Column, default: Column) -> Column:
-    return _result(python_float(last_number(raw)), default)
+    return let(last_number(raw), lambda x: _result(python_float(x), default))
 
 
 def parse_percentage(raw: Column, values: Column, default: Column) -> Column:
     """Shares of up to 1 without a per cent sign are taken times 100."""
-    x = last_number(raw).cast("double")
-    x = F.when(raw.contains("%") | (x > 1), x).otherwise(x * 100)
-    whole = F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(python_float(x))
-    return _result(F.concat(whole, F.lit("%")), default)
+
+    def shown(x: Column) -> Column:
+        whole = F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(python_float(x))
+        return _result(F.concat(whole, F.lit("%")), default)
+
+    return let(let(last_number(raw).cast("double"), lambda x: F.when(raw.contains("%") | (x > 1), x).otherwise(x * 100)), shown)
 
 
 def parse_entity(raw: Column, values: Column, default: Column) -> Column:
@@ -96,10 +104,12 @@ PARSERS: dict[str, Callable[[Column, Column, Column], Column]] = {
 }
 
 
-def parse_typed(kind: Column, raw: Column, values: Column | None = None, default: Column | str | None = None) -> Column:
-    """The parser that each row's item type names; an unknown type gives null."""
+def parse_typed(kind: Column | str, raw: Column, values: Column | None = None, default: Column | str | None = None) -> Column:
+    """The parser that an item type, or each row's, names; an unknown type gives null."""
     values = F.array().cast("array<string>") if values is None else values
     default = default_value(default)
+    if isinstance(kind, str):
+        return PARSERS[kind](raw, values, default)
     out = F.when(F.lit(False), parse_text(raw, values, default))
     for name, parser in PARSERS.items():
         out = out.when(kind == name, parser(raw, values, default))

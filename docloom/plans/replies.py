@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.checkpoints import let, staged
 from docloom.functions.answers import parse_typed
 from docloom.functions.json_repair import find_array, find_dict, items
 from docloom.functions.numeric import digits_int
@@ -21,7 +23,11 @@ def plain(json: Column) -> Column:
 
 
 def _typed(item: Item, raw: Column) -> Column:
-    return parse_typed(F.lit(item.type), raw, F.array(*map(F.lit, item.values)) if item.values else None, item.default)
+    return parse_typed(item.type, raw, F.array(*map(F.lit, item.values)) if item.values else None, item.default)
+
+
+def _meta_of(id_: str) -> Callable[[Column], Column]:
+    return lambda v: F.struct(F.lit(id_).alias("class_id"), v["value"].alias("class_value"), F.when(v["ok"], 0.8).otherwise(0.0).alias("prob"))
 
 
 def answers(replies: DataFrame, item: Item, elements: DataFrame | None = None) -> DataFrame:
@@ -30,26 +36,27 @@ def answers(replies: DataFrame, item: Item, elements: DataFrame | None = None) -
     A reply is a JSON object with the answer under a key that holds "main_question", or a list of such objects under "answers".
     ok is that of the last key that was parsed. Sources are the numbers listed, with ``elements`` those that the document has.
     """
-    body = find_dict(F.col("reply"))
+    replies = staged(replies, _body=find_dict(F.col("reply")))
+    body = F.col("_body")
     blocks = F.when(F.get_json_object(body, "$.answers").startswith("["), items(F.get_json_object(body, "$.answers"))).when(F.array_contains(F.map_keys(F.from_json(body, F.lit("map<string,string>"))), MAIN), F.array(body))
     listed = F.get_json_object(body, "$.sources")
     numbers = F.filter(F.transform(F.when(listed.startswith("["), items(listed)), lambda x: F.when(plain(x).rlike(r"^\d+$"), plain(x)).try_cast("int")), lambda x: x.isNotNull())
     rows = replies.select("source_identifier", "model", F.col("reply").alias("raw_value"), F.coalesce(numbers, F.array().cast("array<int>")).alias("sources"), F.posexplode(blocks).alias("seq", "_b"))
     pairs = F.map_entries(F.from_json("_b", F.lit("map<string,string>")))
-    rows = rows.withColumn("_p", pairs).where("_p is not null")
+    rows = staged(rows, _p=pairs).where("_p is not null")
 
     def last_of(test) -> Column:
         return F.try_element_at(F.filter("_p", test), F.lit(-1))["value"]
 
     main_raw = last_of(lambda e: e["key"].contains(MAIN))
-    rows = rows.withColumn("_main", F.when(main_raw.isNotNull(), _typed(item, main_raw)))
+    rows = staged(rows, _raw=main_raw)
+    rows = rows.withColumn("_main", F.when(F.col("_raw").isNotNull(), _typed(item, F.col("_raw"))))
     known = {m.id: m for m in item.meta}
     meta = []
     for m in known.values():
         raw = last_of(lambda e: (e["key"] == m.id) & ~e["key"].contains(MAIN))
-        v = _typed(m, raw)
-        meta.append(F.when(raw.isNotNull(), F.struct(F.lit(m.id).alias("class_id"), v["value"].alias("class_value"), F.when(v["ok"], 0.8).otherwise(0.0).alias("prob"))))
-    rows = rows.withColumn("meta", F.filter(F.array(*meta), lambda m: m.isNotNull()) if meta else F.array().cast("array<struct<class_id:string,class_value:string,prob:double>>"))
+        meta.append(F.when(raw.isNotNull(), let(_typed(m, raw), _meta_of(m.id))))
+    rows = staged(rows, meta=F.filter(F.array(*meta), lambda m: m.isNotNull()) if meta else F.array().cast("array<struct<class_id:string,class_value:string,prob:double>>"))
     # Of the keys in their order the last parsed one decides about success.
     last_key = F.try_element_at(F.filter(F.transform("_p", lambda e: e["key"]), lambda k: k.contains(MAIN) | (k.isin(*known) if known else F.lit(False))), F.lit(-1))
     ok = F.when(last_key.contains(MAIN), F.col("_main.ok")).otherwise(F.coalesce(F.try_element_at(F.transform(F.filter("meta", lambda m: m["class_id"] == last_key), lambda m: m["prob"] > 0), F.lit(1)), F.lit(False)))
@@ -106,7 +113,8 @@ def meta_values(replies: DataFrame, metas: list[Item]) -> DataFrame:
 
 def bucket_choices(replies: DataFrame, bucket_ids: list[str], line_items: DataFrame) -> DataFrame:
     """Replies (table_id, reply) as buckets of line items (table_id, li_idx); those that no bucket has are not specified."""
-    body = find_dict(F.col("reply"))
+    replies = staged(replies, _body=find_dict(F.col("reply")))
+    body = F.col("_body")
     lists = F.array(*(F.struct(F.lit(b).alias("b"), F.get_json_object(body, f"$['{b}']").alias("v")) for b in bucket_ids))
     rows = replies.select("table_id", F.explode(lists).alias("_x")).where(F.col("_x.v").startswith("["))
     chosen = rows.select("table_id", F.col("_x.b").alias("bucket_id"), F.explode(items(F.col("_x.v"))).alias("_i")).select("table_id", digits_int(F.col("_i")).alias("li_idx"), "bucket_id").where("li_idx is not null")

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.checkpoints import cut
+from docloom.checkpoints import cut, spread
 from docloom.functions import answers as A
 from docloom.functions import json_repair as J
 from docloom.functions import numeric as N
@@ -52,7 +52,7 @@ FORMATS = ("{us}", "{eu}", "({us})", "-{plain}", "{plain} USD", "${us}", "{us} o
 
 
 def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    o = spread(read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"))
     cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
     whole, part = F.floor(cents / 100).cast("bigint"), F.lpad((cents % 100).cast("string"), 2, "0")
     thousands = F.when(whole >= 1000, F.concat(F.floor(whole / 1000).cast("bigint").cast("string"), F.lit("{s}"), F.lpad((whole % 1000).cast("string"), 3, "0"))).otherwise(whole.cast("string"))
@@ -101,7 +101,7 @@ def last_number(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT o_orderkey, coalesce(CAST(CAST(floor(x) AS BIGINT) AS VARCHAR), 'n/a') AS as_int, x IS NOT NULL AS int_ok,
   CAST(CAST(x AS DECIMAL(18,2)) AS VARCHAR) AS as_numeric, CAST(CAST(CASE WHEN contains(raw, '%') OR x > 1 THEN x ELSE x * 100 END AS DECIMAL(18,2)) AS VARCHAR) AS as_percent FROM p""")
 def number_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _written(spark, sf_dir).select("o_orderkey", *(A.parse_typed(F.lit(k), F.col("raw")).alias(k) for k in ("int", "numeric", "percentage")))
+    rows = _written(spark, sf_dir).select("o_orderkey", *(A.parse_typed(k, F.col("raw")).alias(k) for k in ("int", "numeric", "percentage")))
     num = lambda c: text2(F.replace(F.col(c), F.lit("%"), F.lit("")).try_cast("double"))
     return rows.select("o_orderkey", F.col("int.value").alias("as_int"), F.col("int.ok").alias("int_ok"), num("numeric.value").alias("as_numeric"), num("percentage.value").alias("as_percent"))
 
@@ -132,7 +132,7 @@ def column_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT doc_id, CAST(len(list_filter(string_split(regexp_replace(text, '[^%$£€¥0-9a-zA-Z]', ' ', 'g'), ' '), lambda w: w <> '')) AS BIGINT) AS n_words, sha256(trim(regexp_replace(text, ' +', ' ', 'g'), ' ')) AS spaced FROM documents""")
 def words_and_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents")
+    d = spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", F.size(T.words(F.col("text"))).cast("bigint").alias("n_words"), F.sha2(T.clean_spaces(F.col("text")), 256).alias("spaced"))
 
 
@@ -159,7 +159,7 @@ def entity_and_date_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey").cast("string")
     named = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("The buyer is: Customer "), k, F.lit("."))).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("Buyers are Customer "), k)).otherwise(F.concat(F.lit(" Customer "), k, F.lit(". ")))
     dated = F.when(F.col("c_custkey") % 4 == 0, F.lit("in 1995")).otherwise(F.concat(F.lit("due 1995-02-3"), (F.col("c_custkey") % 10).cast("string"), F.lit(" or 1996-01-01")))
-    x = c.select("c_custkey", A.parse_typed(F.lit("entity"), named).alias("e"), A.parse_typed(F.lit("date"), dated).alias("d"))
+    x = c.select("c_custkey", A.parse_typed("entity", named).alias("e"), A.parse_typed("date", dated).alias("d"))
     return x.select("c_custkey", F.col("e.value").alias("as_entity"), F.col("d.value").alias("as_date"), F.col("d.ok").alias("date_ok"))
 
 
@@ -175,7 +175,7 @@ def list_and_multi_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey") % 3
     said = F.when(k == 0, F.concat(F.lit("I think $ "), F.lower("c_mktsegment"), F.lit(" $ it is"))).when(k == 1, F.concat(F.lit("It is "), F.initcap("c_mktsegment"), F.lit("."))).otherwise(F.col("c_mktsegment"))
     many = F.concat(F.lit("["), F.initcap("c_mktsegment"), F.lit(" | Building|other ]"))
-    x = c.select("c_custkey", A.parse_typed(F.lit("list"), said, values, "none").alias("l"), A.parse_typed(F.lit("multi"), many, values).alias("m"))
+    x = c.select("c_custkey", A.parse_typed("list", said, values, "none").alias("l"), A.parse_typed("multi", many, values).alias("m"))
     return x.select("c_custkey", F.col("l.value").alias("as_list"), F.col("l.ok").alias("list_ok"), F.col("m.value").alias("as_multi"))
 
 
@@ -340,7 +340,7 @@ s AS (SELECT query_id, vec_id, round(list_cosine_similarity(CAST(embedding AS DO
 SELECT query_id, vec_id, s AS similarity, CAST(k AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(x, 9) DESC, vec_id) AS k FROM s) WHERE k <= 10""")
 def topk_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector as a query; the ten nearest are what is asked for."""
-    v = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    v = spread(read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector")))
     q = v.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query_vector"))
     return R.nearest(v, q, 10).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("bigint").alias("rank"))
 
@@ -435,7 +435,7 @@ def costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _eval_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies about orders, read as typed answers, beside the true ones."""
-    o = read(spark, sf_dir, "orders")
+    o = spread(read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_custkey"))
     total = F.concat(F.lit("The total is: "), F.format_number("o_totalprice", 2), F.lit(" USD."))
     wrong = F.when(F.col("o_orderkey") % 10 == 7, F.lit("unknown")).otherwise(total)
     currency = F.when(F.col("o_orderstatus") == "F", F.lit("in some money")).otherwise(F.when(F.col("o_custkey") % 3 == 0, F.lit("It is EUR, not $")).otherwise(F.lit("usd")))
@@ -444,8 +444,8 @@ def _eval_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = F.array(
         F.struct(F.lit("assigned").alias("model"), F.lit("total").alias("class_id"), text2(F.col("o_totalprice")).alias("value")),
         F.struct(F.lit("assigned").alias("model"), F.lit("currency").alias("class_id"), true_currency.alias("value")),
-        F.struct(F.lit("rules").alias("model"), F.lit("total").alias("class_id"), F.coalesce(text2(A.parse_typed(F.lit("numeric"), wrong)["value"].try_cast("double")), F.lit("n/a")).alias("value")),
-        F.struct(F.lit("rules").alias("model"), F.lit("currency").alias("class_id"), A.parse_typed(F.lit("list"), currency, money)["value"].alias("value")),
+        F.struct(F.lit("rules").alias("model"), F.lit("total").alias("class_id"), F.coalesce(text2(A.parse_typed("numeric", wrong)["value"].try_cast("double")), F.lit("n/a")).alias("value")),
+        F.struct(F.lit("rules").alias("model"), F.lit("currency").alias("class_id"), A.parse_typed("list", currency, money)["value"].alias("value")),
     )
     x = o.select(F.col("o_orderkey").alias("source"), F.explode(rows).alias("r"))
     return x.select("source", "r.model", "r.class_id", F.lit("").alias("key"), "r.value", F.lit(0).alias("seq"), F.lit(0).alias("meta_n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docloom.checkpoints import spread
 from docloom.functions import answers as A
 from docloom.functions import json_repair as J
 from docloom.functions import text as T
@@ -25,7 +26,7 @@ _TOTAL = Item("What is the total?", "numeric", id="total", meta=(_MONEY,))
 
 def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies about orders: an object, a list of answers with a meta value and sources, one with sources that are none, or no JSON."""
-    o = read(spark, sf_dir, "orders").select("o_orderkey", F.format_number("o_totalprice", 2).alias("p"), F.lower(F.when(F.col("o_custkey") % 2 == 0, "usd").otherwise("eur")).alias("c"))
+    o = spread(read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_custkey")).select("o_orderkey", F.format_number("o_totalprice", 2).alias("p"), F.lower(F.when(F.col("o_custkey") % 2 == 0, "usd").otherwise("eur")).alias("c"))
     k = F.col("o_orderkey") % 4
     one = F.concat(F.lit('{"main_question": "It is: '), "p", F.lit('"}'))
     many = F.concat(F.lit('Sure: {"answers": [{"main_question": "'), "p", F.lit('", "money": "in '), "c", F.lit('"}, {"main\\_question": 12, "money": "?"}], "sources": [1, 7, "x", 0]} done'))
@@ -280,7 +281,7 @@ def names_and_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Free text as it is, and values as replies would give them."""
     c = read(spark, sf_dir, "customer")
-    t = A.parse_typed(F.lit("text"), F.concat(F.lit(" Said: "), "c_mktsegment"))
+    t = A.parse_typed("text", F.concat(F.lit(" Said: "), "c_mktsegment"))
     return c.select("c_custkey", t["value"].alias("as_text"), t["ok"].alias("ok"), A.to_raw(F.when(F.col("c_custkey") % 2 == 0, "multi").otherwise("text"), F.col("c_mktsegment")).alias("raw"))
 
 
