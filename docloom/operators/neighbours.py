@@ -24,7 +24,8 @@ def earlier() -> WindowSpec:
 
 
 def later() -> WindowSpec:
-    return in_order().rowsBetween(1, Window.unboundedFollowing)
+    """What comes after an element, the last of it first: a frame that grows row by row, where one up to the end would be gone through again for each row."""
+    return Window.partitionBy(DOC).orderBy(F.desc(IDX)).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def text_before_length(include_tables: bool = False) -> Column:
@@ -62,11 +63,15 @@ def text_before(elements: DataFrame, limit: int | None = None) -> DataFrame:
     e = e.withColumn("_run", prior)
     # The elements with one such run before them are its texts and the element that ends it.
     run = Window.partitionBy(DOC, "_run").orderBy(IDX).rowsBetween(Window.unboundedPreceding, -1)
+    if limit is not None:
+        # Where the limit isn't reached, all texts of the run begin less than so many characters before.
+        e = e.withColumn("_pos", F.coalesce(F.sum(F.length(F.coalesce("text", F.lit(""))) + 1).over(run), F.lit(0)))
+        run = Window.partitionBy(DOC, "_run").orderBy("_pos").rangeBetween(-limit, -1)
     joined = F.array_join(F.collect_list(F.concat(F.coalesce("text", F.lit("")), F.lit(" "))).over(run), "")
     ok = F.col("_run") >= 1
     if limit is not None:
-        ok = ok & (F.length(joined) < limit)
-    return e.withColumn("text_before", F.when(ok, joined)).drop("_g", "_run")
+        ok = ok & (F.col("_pos") < limit)
+    return e.withColumn("text_before", F.when(ok, joined)).drop("_g", "_run", "_pos")
 
 
 def _taken(items: Column, limit: int) -> Column:
@@ -78,14 +83,18 @@ def _taken(items: Column, limit: int) -> Column:
 def words_around(elements: DataFrame, limit: int = WORDS_AROUND, number: str = "xnumberx") -> DataFrame:
     """elements with ``text_before`` and ``text_after``: cleaned texts nearest to the element until they have ``limit`` words, the nearest first before it and last behind it.
 
-    No text holds more than the words it has, but texts without words can be any number; the frames are therefore whole documents, in the order of distance.
+    Frames reach over as many texts with words as there may be words, and the texts without any between them.
     """
     clean = clean_for_vectors(F.col("text"), drop_special=True, drop_numbers=True, number=number)
-    e = elements.withColumn("_item", F.when(F.col("el_type") == "text", F.struct(clean.alias("t"), F.size(words(F.coalesce("text", F.lit("")))).alias("n"))))
-    before = F.reverse(F.collect_list("_item").over(earlier()))
-    after = F.collect_list("_item").over(later())
-    e = e.withColumn("text_before", F.trim(F.array_join(_taken(before, limit), " "))).withColumn("text_after", F.trim(F.array_join(F.reverse(_taken(after, limit)), " ")))
-    return e.drop("_item")
+    is_text = F.col("el_type") == "text"
+    e = elements.withColumn("_item", F.when(is_text, F.struct(F.col(IDX).alias("i"), clean.alias("t"), F.size(words(F.coalesce("text", F.lit("")))).alias("n"))))
+    e = e.withColumn("_worded", F.sum(F.coalesce((F.col("_item.n") > 0).cast("int"), F.lit(0))).over(in_order().rowsBetween(Window.unboundedPreceding, 0)))
+    near = Window.partitionBy(DOC).orderBy("_worded")
+    before = F.filter(F.collect_list("_item").over(near.rangeBetween(-limit, 0)), lambda x: x["i"] < F.col(IDX))
+    after = F.filter(F.collect_list("_item").over(near.rangeBetween(0, limit)), lambda x: x["i"] > F.col(IDX))
+    e = e.withColumn("_before", F.sort_array(before, asc=False)).withColumn("_after", F.sort_array(after))
+    e = e.withColumn("text_before", F.trim(F.array_join(_taken(F.col("_before"), limit), " "))).withColumn("text_after", F.trim(F.array_join(F.reverse(_taken(F.col("_after"), limit)), " ")))
+    return e.drop("_item", "_worded", "_before", "_after")
 
 
 def tables_around(elements: DataFrame, limit: int = TABLES_AROUND, number: str = "xnumberx") -> DataFrame:
@@ -108,7 +117,7 @@ def tables_around(elements: DataFrame, limit: int = TABLES_AROUND, number: str =
     e = e.withColumn("_t", body)
     for side, shift in (("_b", F.lag), ("_a", F.lead)):
         e = e.withColumn(side, F.when(F.col("el_type") == "table", F.array(F.col("_t"), *(shift("_t", k).over(among) for k in range(1, n)))))
-    e = e.withColumn("_b", F.last("_b", ignorenulls=True).over(earlier())).withColumn("_a", F.first("_a", ignorenulls=True).over(later()))
+    e = e.withColumn("_b", F.last("_b", ignorenulls=True).over(earlier())).withColumn("_a", F.last("_a", ignorenulls=True).over(later()))
     out = []
     for side, col in (("before", "_b"), ("after", "_a")):
         for k in range(max(limit, 1)):
@@ -183,7 +192,7 @@ def nearest_table(elements: DataFrame) -> DataFrame:
     """elements with ``nearest_table``: the index of the closest other table, the earlier of two; an as-of join by windows alone."""
     at = F.when(F.col("el_type") == "table", F.col(IDX))
     back = F.last(at, ignorenulls=True).over(earlier())
-    forth = F.first(at, ignorenulls=True).over(later())
+    forth = F.last(at, ignorenulls=True).over(later())
     e = elements.withColumn("_b", back).withColumn("_f", forth)
     return e.withColumn("nearest_table", F.when(F.col("_f").isNull() | (F.col(IDX) - F.col("_b") <= F.col("_f") - F.col(IDX)), F.col("_b")).otherwise(F.col("_f"))).drop("_b", "_f")
 

@@ -273,29 +273,43 @@ def texts_before(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CLEAN = "list_filter(string_split(regexp_replace(text, '[^%$£€¥0-9a-zA-Z]', ' ', 'g'), ' '), lambda w: w <> '')"
 
 
-@query(f"""WITH {ELEMENTS}, n AS (SELECT *, CASE WHEN el_type = 'text' THEN len({_CLEAN}) + 1 ELSE 0 END AS n FROM e)
-SELECT a.source_identifier, a.element_index,
-  CAST((SELECT count(*) FROM n b WHERE b.source_identifier = a.source_identifier AND b.el_type = 'text' AND b.element_index < a.element_index AND coalesce((SELECT sum(c.n) FROM n c WHERE c.source_identifier = a.source_identifier AND c.element_index > b.element_index AND c.element_index < a.element_index), 0) < 50) AS BIGINT) AS n_before,
-  CAST((SELECT count(*) FROM n b WHERE b.source_identifier = a.source_identifier AND b.el_type = 'text' AND b.element_index > a.element_index AND coalesce((SELECT sum(c.n) FROM n c WHERE c.source_identifier = a.source_identifier AND c.element_index < b.element_index AND c.element_index > a.element_index), 0) < 50) AS BIGINT) AS n_after
-FROM n a""")
+@query(f"""WITH {ELEMENTS}, n AS (SELECT source_identifier, element_index, el_type, CASE WHEN el_type = 'text' THEN length(text) % 30 ELSE 0 END AS n, trim(repeat('w' || element_index || ' ', CAST(length(text) % 30 AS INTEGER))) AS t FROM e),
+p AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY source_identifier ORDER BY element_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM n)
+SELECT a.source_identifier, a.element_index, trim(coalesce(string_agg(b.t, ' ' ORDER BY b.element_index DESC) FILTER (WHERE b.element_index < a.element_index AND a.pos - b.pos - b.n < 50), '')) AS text_before,
+  trim(coalesce(string_agg(b.t, ' ' ORDER BY b.element_index DESC) FILTER (WHERE b.element_index > a.element_index AND b.pos - a.pos - a.n < 50), '')) AS text_after
+FROM p a LEFT JOIN p b ON a.source_identifier = b.source_identifier AND b.el_type = 'text' GROUP BY 1, 2""")
 def words_around(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many texts on each side are taken until they have 50 words. To be counted, each text begins with a mark."""
-    e = _elements(spark, sf_dir).withColumn("text", F.concat(F.lit("zzmark "), "text"))
-    out = W.words_around(e)
-    count = lambda c: F.regexp_count(c, F.lit("zzmark")).cast("bigint")
-    return _long(out.select("source_identifier", "element_index", count("text_before").alias("n_before"), count("text_after").alias("n_after")))
+    """The texts on each side until they have 50 words; texts of up to 29 words, made from the turns' lengths."""
+    text = F.trim(F.repeat(F.concat(F.lit("w"), F.col("element_index").cast("string"), F.lit(" ")), F.length("text") % 30))
+    return _long(W.words_around(_elements(spark, sf_dir).withColumn("text", text)).select("source_identifier", "element_index", "text_before", "text_after"))
+
+
+def _around(side: str, k: int) -> str:
+    """Columns of the k-th table on a side."""
+    at = f"{'before' if side == 'before' else 'NOT before'} AND k = {k}"
+    alnum = "length(regexp_replace(ttext, '[^0-9a-zA-Z]', '', 'g'))"
+    columns = {
+        "text_distance": f"CAST(coalesce(max(CASE WHEN {at} THEN {'pos - tpos' if side == 'before' else 'tpos - pos - own'} END), 0) AS BIGINT)",
+        "num_words": f"CAST(coalesce(max(CASE WHEN {at} THEN len({_CLEAN.replace('text,', 'ttext,')}) END), 0) AS BIGINT)",
+        "percent_numbers": f"round(coalesce(max(CASE WHEN {at} AND {alnum} > 0 THEN length(regexp_replace(ttext, '[^0-9]', '', 'g')) / {alnum} END), 0), 9)",
+        "text_simple": f"coalesce(max(CASE WHEN {at} THEN 'table: ' || ttext END), '')",
+    }
+    return ", ".join(f"{sql} AS {name}_{side}_{k}" for name, sql in columns.items())
+
+
+_AROUND = ", ".join(_around(side, k) for side in ("before", "after") for k in (1, 2, 3))
 
 
 @query(f"""WITH {ELEMENTS}, p AS (SELECT *, coalesce(sum(CASE WHEN el_type = 'text' THEN length(text) ELSE 0 END) OVER (PARTITION BY source_identifier ORDER BY element_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos, CASE WHEN el_type = 'text' THEN length(text) ELSE 0 END AS own FROM e),
 r AS (SELECT a.source_identifier, a.element_index, a.pos, a.own, b.pos AS tpos, b.text AS ttext, b.element_index < a.element_index AS before, row_number() OVER (PARTITION BY a.source_identifier, a.element_index, b.element_index < a.element_index ORDER BY abs(b.element_index - a.element_index)) AS k
   FROM p a JOIN p b ON a.source_identifier = b.source_identifier AND b.el_type = 'table' AND b.element_index <> a.element_index)
-SELECT e.source_identifier, e.element_index,
-  CAST(coalesce(max(CASE WHEN before AND k = 1 THEN pos - tpos END), 0) AS BIGINT) AS text_distance_before_1, CAST(coalesce(max(CASE WHEN before AND k = 2 THEN pos - tpos END), 0) AS BIGINT) AS text_distance_before_2,
-  CAST(coalesce(max(CASE WHEN NOT before AND k = 1 THEN tpos - pos - own END), 0) AS BIGINT) AS text_distance_after_1, CAST(coalesce(max(CASE WHEN NOT before AND k = 2 THEN len({_CLEAN.replace('text,', 'ttext,')}) END), 0) AS BIGINT) AS num_words_after_2
-FROM e LEFT JOIN r USING (source_identifier, element_index) GROUP BY ALL""")
+SELECT e.source_identifier, e.element_index, {_AROUND} FROM e LEFT JOIN r USING (source_identifier, element_index) GROUP BY ALL""")
 def tables_around(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances, words, shares of digits and texts of the next three tables on both sides."""
     out = W.tables_around(_elements(spark, sf_dir))
-    return _long(out.select("source_identifier", "element_index", *(F.col(c).cast("bigint").alias(c) for c in ("text_distance_before_1", "text_distance_before_2", "text_distance_after_1", "num_words_after_2"))))
+    whole, share, text = ("text_distance", "num_words"), "percent_numbers", "text_simple"
+    cols = [c for side in ("before", "after") for k in (1, 2, 3) for c in (*(F.col(f"{n}_{side}_{k}").cast("bigint").alias(f"{n}_{side}_{k}") for n in whole), F.round(f"{share}_{side}_{k}", 9).alias(f"{share}_{side}_{k}"), F.col(f"{text}_{side}_{k}"))]
+    return _long(out.select("source_identifier", "element_index", *cols))
 
 
 @query(f"""WITH {ELEMENTS} SELECT source_identifier, string_agg('[chunk ' || element_index || '] ' || text, chr(10) ORDER BY element_index) AS content FROM e GROUP BY source_identifier""")
