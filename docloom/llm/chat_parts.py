@@ -63,7 +63,7 @@ class FlattenVisitor:
 
 
 def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", parts_col: str = "parts") -> DataFrame:
-    """One row a conversation: conv_id, n_turns, formatted, attachments ("kind_number:ref:tokens", by semicolons), n_attachments, n_tokens."""
+    """One row a conversation: conv_id, n_turns, formatted, attachments (a JSON array of placeholder, ref and tokens of each, in order), n_attachments, n_tokens."""
     tokens, flatten = TokenVisitor(), FlattenVisitor()
     kinds = ("text", *KINDS)
     parts = F.filter(F.coalesce(F.col(parts_col), F.array().cast(PARTS)), lambda p: F.coalesce(p["kind"].isin(*kinds), F.lit(False)))
@@ -80,10 +80,9 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
         return {k: F.col(f"_before_{k}") + count(F.slice("_parts", F.lit(1), i), k) for k in KINDS}
 
     body = F.array_join(F.transform("_parts", lambda p, i: flatten.visit(p, before(i))), "")
-    refs = F.filter(
-        F.transform("_parts", lambda p, i: F.when(p["kind"] != "text", F.concat(F.regexp_extract(flatten.visit(p, before(i)), r"^<\|(.*)\|>$", 1), F.lit(":"), F.coalesce(p["ref"], F.lit("")), F.lit(":"), tokens.visit(p).cast("string")))),
-        lambda x: x.isNotNull(),
-    )
+    name = lambda p, i: F.regexp_extract(flatten.visit(p, before(i)), r"^<\|(.*)\|>$", 1)
+    attached = F.transform("_parts", lambda p, i: F.when(p["kind"] != "text", F.struct(name(p, i).alias("placeholder"), F.coalesce(p["ref"], F.lit("")).alias("ref"), tokens.visit(p).alias("tokens"))))
+    refs = F.filter(attached, lambda x: x.isNotNull())
     spent = F.aggregate("_parts", F.lit(TURN_TOKENS).cast("bigint"), lambda n, p: n + tokens.visit(p))
     message = F.concat(F.lit("<|"), F.col("_role"), F.lit("|>\n"), body, F.lit("<|end|>\n"))
     rows = rows.select("_c", F.struct("_row", message.alias("m"), refs.alias("r")).alias("_m"), spent.alias("_n"))
@@ -93,7 +92,7 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
         F.col("_c").alias("conv_id"),
         F.size("_all").alias("n_turns"),
         F.array_join(F.transform("_all", lambda x: x["m"]), "").alias("formatted"),
-        F.array_join(attached, ";").alias("attachments"),
+        F.to_json(attached).alias("attachments"),
         F.size(attached).alias("n_attachments"),
         F.col("_tokens").alias("n_tokens"),
     )

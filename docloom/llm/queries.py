@@ -197,9 +197,9 @@ q AS (SELECT *, row_number() OVER (PARTITION BY conv_id, kind ORDER BY turn, rol
 f AS (SELECT *, CASE WHEN kind = 'text' THEN text ELSE '<|' || kind || '_' || k || '|>' END AS body FROM q),
 m AS (
   SELECT conv_id, turn, role, '<|' || role || '|>' || chr(10) || string_agg(body, '' ORDER BY pos) || '<|end|>' || chr(10) AS m,
-    sum(tokens) + 4 AS tokens, string_agg(kind || '_' || k || ':' || ref || ':' || tokens, ';' ORDER BY pos) FILTER (WHERE kind <> 'text') AS refs, count(*) FILTER (WHERE kind <> 'text') AS n
+    sum(tokens) + 4 AS tokens, list({'placeholder': kind || '_' || k, 'ref': ref, 'tokens': tokens} ORDER BY pos) FILTER (WHERE kind <> 'text') AS refs, count(*) FILTER (WHERE kind <> 'text') AS n
   FROM f GROUP BY conv_id, turn, role)
-SELECT conv_id, CAST(count(*) AS INTEGER) AS n_turns, string_agg(m, '' ORDER BY turn, role) AS formatted, coalesce(string_agg(refs, ';' ORDER BY turn, role), '') AS attachments,
+SELECT conv_id, CAST(count(*) AS INTEGER) AS n_turns, string_agg(m, '' ORDER BY turn, role) AS formatted, coalesce(CAST(to_json(flatten(list(refs ORDER BY turn, role) FILTER (WHERE refs IS NOT NULL))) AS VARCHAR), '[]') AS attachments,
   CAST(sum(n) AS INTEGER) AS n_attachments, CAST(sum(tokens) AS BIGINT) AS n_tokens
 FROM m GROUP BY conv_id
 """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pytest
 
 import corpus_pipeline
@@ -69,16 +71,17 @@ def test_chat_on_nasty_and_empty_tables(spark):
     part = lambda kind, text=None, ref=None, w=None, h=None, s=None, p=None: (kind, text, ref, w, h, s, p)
     rows = [
         (1, 2, None, [part("text", None), part("image", ref="a.png", w=29, h=28), part("image")], "x", 1),
-        (1, 1, "system", [part("video", ref="no"), part(None), None, part("audio", ref="b", s=1.01), part("document", ref="c", p=2), part("text", "tail")], "x", 1),
+        (1, 1, "system", [part("video", ref="no"), part(None), None, part("audio", ref='b:;"', s=1.01), part("document", ref="c", p=2), part("text", "tail")], "x", 1),
         (1, 2, "assistant", None, "x", 1),
         (None, None, "user", [], "x", 1),
         (None, None, "user", [], "x", 1),
     ]
     got = {r.conv_id: r for r in chat_parts.format_conversations(spark.createDataFrame(rows, schema)).collect()}
     assert got[1].formatted == "<|system|>\n<|audio_1|><|document_1|>tail<|end|>\n<|assistant|>\n<|end|>\n<|user|>\n<|image_1|><|image_2|><|end|>\n"
-    assert got[1].attachments == "audio_1:b:26;document_1:c:512;image_1:a.png:4;image_2::2"
+    attached = [(x["placeholder"], x["ref"], x["tokens"]) for x in json.loads(got[1].attachments)]
+    assert attached == [("audio_1", "b:;\"", 26), ("document_1", "c", 512), ("image_1", "a.png", 4), ("image_2", "", 2)]
     assert (got[1].n_turns, got[1].n_attachments, got[1].n_tokens) == (3, 4, 3 * 4 + 26 + 512 + 1 + 4 + 2)
-    assert (got[None].n_turns, got[None].n_tokens, got[None].attachments) == (2, 8, "")
+    assert (got[None].n_turns, got[None].n_tokens, got[None].attachments) == (2, 8, "[]")
     assert chat_parts.format_conversations(spark.createDataFrame([], schema)).count() == 0
 
 
