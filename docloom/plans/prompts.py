@@ -11,6 +11,9 @@ from docloom.functions.answers import example, possible_values
 from docloom.plans.template import Item, Mapping, Table
 
 MAIN = "main_question"
+#: A small table and what sorts its rows into buckets, for samples in prompts; never changed.
+SAMPLE_ROWS = (("Sales of goods", ("120", "100")), ("Wages", ("-40", "-35")), ("Other items", ("3", None)))
+SAMPLE_BUCKETS = (("income", "Income"), ("expenses", "Expenses"))
 
 
 def history(messages: Column) -> Column:

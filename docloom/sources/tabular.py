@@ -84,11 +84,18 @@ def write_dataset(rows: DataFrame, folder: str, mode: str = "append") -> None:
 
 
 def read_dataset(spark: SparkSession, *paths: str, indices: Iterable[int] | None = None, skip: Column | None = None, preprocess: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Dataset rows with row_index (in file order); of them those with the given numbers, without skipped ones, preprocessed."""
-    from pyspark.sql import Window
+    """Dataset rows with row_index (in file order); of them those with the given numbers, without skipped ones, preprocessed.
 
+    A file whose texts have lines is read by one task in its order; only the files' sizes are brought together.
+    """
     out = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(list(paths)).withColumn("_f", F.col("_metadata.file_path")).withColumn("_m", F.monotonically_increasing_id())
-    out = out.withColumn("row_index", F.row_number().over(Window.orderBy("_f", "_m")) - 1).drop("_f", "_m")
+    files = out.groupBy("_f").agg(F.count("*").alias("_n"), F.min("_m").alias("_first")).collect()
+    before, starts = 0, []
+    for f in sorted(files, key=lambda r: r["_f"]):
+        starts += [F.lit(f["_f"]), F.lit(before - f["_first"])]
+        before += f["_n"]
+    start = F.create_map(*starts)[F.col("_f")] if starts else F.lit(0)
+    out = out.withColumn("row_index", (F.col("_m") + start).cast("int")).drop("_f", "_m")
     if indices is not None:
         wanted = spark.createDataFrame([(int(i),) for i in sorted(set(indices))], "row_index int")
         out = out.join(wanted, "row_index", "left_semi")
@@ -97,6 +104,36 @@ def read_dataset(spark: SparkSession, *paths: str, indices: Iterable[int] | None
     return preprocess(out) if preprocess else out
 
 
+def batches(rows: DataFrame, size: int, columns: list[str] | None = None) -> Iterator[list]:
+    """Rows in lists of ``size`` (the last may be shorter), partition after partition, so that the driver holds one partition at a time."""
+    held: list = []
+    for r in (rows if columns is None else rows.select(*columns)).toLocalIterator():
+        held.append(r)
+        if len(held) == size:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def stream_column(rows: DataFrame, name: str) -> Iterator:
+    """The values of one column, as they come."""
+    return (r[0] for r in rows.select(name).toLocalIterator())
+
+
+def save_model(model, folder: str, settings: DataFrame) -> None:
+    """A model of Spark's own library, and beside it the settings of the columns that it was fitted on (as scaling() gives them)."""
+    model.write().overwrite().save(f"{folder}/model")
+    settings.write.mode("overwrite").parquet(f"{folder}/columns")
+
+
+def load_model(spark: SparkSession, folder: str, kind: type | None = None) -> tuple:
+    """A saved model (a pipeline unless another kind is named) and its column settings."""
+    from pyspark.ml import PipelineModel
+
+    return (kind or PipelineModel).load(f"{folder}/model"), spark.read.parquet(f"{folder}/columns")
+
+
 def columns_of(frame: DataFrame) -> dict[str, list[str]]:
     """Names of features and answers, without their prefixes."""
     return {k: sorted(c[len(p) :] for c in frame.columns if c.startswith(p)) for k, p in (("features", FEATURE), ("answers", ANSWER))}
@@ -116,7 +153,7 @@ def scaling(frame: DataFrame, numeric: list[str], categories: list[str]) -> Data
 
 
 def min_max(frame: DataFrame, columns: list[str]) -> DataFrame:
-    """Columns scaled to 0..1 by their extremes, 0 where these are equal; the extremes are one row, joined to all."""
-    ends = frame.agg(*(f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("a", F.min), ("b", F.max))))
-    out = frame.crossJoin(F.broadcast(ends))
-    return out.select(*(F.coalesce(F.try_divide(F.col(c) - F.col(f"_a_{c}"), F.col(f"_b_{c}") - F.col(f"_a_{c}")), F.lit(0.0)).alias(c) if c in columns else F.col(c) for c in frame.columns))
+    """Columns scaled to 0..1 by their extremes, 0 where these are equal; the extremes, one row, are taken first."""
+    ends = frame.agg(*(f(c).alias(f"{n}_{c}") for c in columns for n, f in (("a", F.min), ("b", F.max)))).first()
+    low, high = ({c: F.lit(ends[f"{n}_{c}"]) for c in columns} for n in "ab")
+    return frame.select(*(F.coalesce(F.try_divide(F.col(c) - low[c], high[c] - low[c]), F.lit(0.0)).alias(c) if c in columns else F.col(c) for c in frame.columns))

@@ -136,6 +136,25 @@ def test_dataset_files(spark, tmp_path):
     assert [(r.source_identifier, r.FEATURE_full_prompt) for r in back] == [("a", 'x "y"\nz'), ("b", "[NOT_CONFIGURED]")]
 
 
+def test_rows_of_several_files_batches_and_models(spark, tmp_path):
+    base = spark.createDataFrame([(f"s{i:02d}", "t", "q", f"p{i}") for i in range(20)], "source_identifier string, template_id string, element_identifier string, FEATURE_full_prompt string")
+    for part in range(2):
+        tabular.write_dataset(base.where(f"int(substr(source_identifier, 2)) % 2 = {part}").coalesce(1), f"{tmp_path}/d{part}")
+    rows = tabular.read_dataset(spark, f"{tmp_path}/d0", f"{tmp_path}/d1")
+    order = [f"s{i:02d}" for i in (*range(0, 20, 2), *range(1, 20, 2))]
+    assert [(r.row_index, r.source_identifier) for r in rows.orderBy("row_index").collect()] == list(enumerate(order))
+    some = tabular.read_dataset(spark, f"{tmp_path}/d0", f"{tmp_path}/d1", indices=[11, 3], skip=F.col("source_identifier") == "s06", preprocess=lambda d: d.select("row_index", "source_identifier"))
+    assert [tuple(r) for r in some.collect()] == [(11, "s03")]
+    assert [len(b) for b in tabular.batches(rows, 8)] == [8, 8, 4] and sorted(tabular.stream_column(rows, "source_identifier")) == sorted(order)
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import SQLTransformer
+
+    model = Pipeline(stages=[SQLTransformer(statement="SELECT *, x * 2 AS y FROM __THIS__")]).fit(spark.createDataFrame([(1,)], "x int"))
+    tabular.save_model(model, f"{tmp_path}/m", tabular.scaling(spark.createDataFrame([(1.0, "a"), (3.0, "b")], "x double, c string"), ["x"], ["c"]))
+    back, columns = tabular.load_model(spark, f"{tmp_path}/m")
+    assert back.transform(spark.createDataFrame([(4,)], "x int")).first().y == 8 and (columns.first().min_x, columns.first().values_c) == (1.0, ["a", "b"])
+
+
 def test_csv_and_json_documents(spark):
     files = spark.createDataFrame([("f", bytearray(b"a;b\n1;2;3\n"))], "source_identifier string, content binary")
     rows = tabular.read_csv_tables(files).first().rows
