@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,10 +21,22 @@ def register_converter(source_type: str, converter: Converter) -> None:
     CONVERTERS[source_type] = converter
 
 
+#: The endings of each type's files; any other is "other".
+EXTENSIONS = {"pdf": ("pdf", "png", "jpg", "jpeg"), "html": ("html", "xml"), "tabular": ("xlsx", "xls", "csv")}
+
+
 def document_type(path: Column) -> Column:
     """pdf, html, tabular or other, by the extension whatever its case."""
     ext = F.lower(F.regexp_extract(path, r"\.([^./\\]*)$", 1))
-    return F.when(ext.isin("pdf", "png", "jpg", "jpeg"), "pdf").when(ext.isin("html", "xml"), "html").when(ext.isin("xlsx", "xls", "csv"), "tabular").otherwise("other")
+    kind = F.when(F.lit(False), F.lit("other"))
+    for name, endings in EXTENSIONS.items():
+        kind = kind.when(ext.isin(*endings), name)
+    return kind.otherwise("other")
+
+
+def _glob(endings: tuple[str, ...]) -> str:
+    """A pattern of file names with these endings in any case."""
+    return "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in e) for e in endings) + "}"
 
 
 def choose_converter(source_type: str) -> Converter:
@@ -37,21 +50,24 @@ def from_text(texts: DataFrame, text_col: str = "text") -> DataFrame:
     return texts.select(identifier(F.col(text_col)).alias("source_identifier"), F.lit("text").alias("source_type"), F.lit(0).alias("element_index"), F.lit("text").alias("el_type"), F.col(text_col).alias("text"))
 
 
-def read_files(spark: SparkSession, *paths: str) -> DataFrame:
-    """Files with their type, identifier (hash of the bytes), path and content."""
-    files = spark.read.format("binaryFile").load(list(paths))
+def read_files(spark: SparkSession, *paths: str, names: str | None = None) -> DataFrame:
+    """Files (those with fitting names) with their type, identifier (hash of the bytes), path and content."""
+    reader = spark.read.format("binaryFile")
+    files = (reader if names is None else reader.option("pathGlobFilter", names)).load(list(paths))
     return files.select(document_type(F.col("path")).alias("source_type"), identifier(F.col("content")).alias("source_identifier"), F.col("path").alias("file_path"), "content")
 
 
 def load_documents(spark: SparkSession, *paths: str) -> DataFrame:
-    """Elements of files, each converted as its type says. Types without a converter are refused before anything is read whole."""
-    files = read_files(spark, *paths)
-    types = [r[0] for r in files.select("source_type").distinct().collect()]
-    parts = [choose_converter(t)(files.where(F.col("source_type") == t)) for t in sorted(types)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out
+    """Elements of files, each converted as its type says. Types without a converter are refused before any file's bytes are read; each file's are read once."""
+    kinds = spark.read.format("binaryFile").load(list(paths)).select(document_type(F.col("path")).alias("t")).distinct()
+    parts = []
+    for t in sorted(r["t"] for r in kinds.collect()):
+        convert = choose_converter(t)
+        files = read_files(spark, *paths, names=_glob(EXTENSIONS[t])) if t in EXTENSIONS else read_files(spark, *paths).where(F.col("source_type") == t)
+        parts.append(convert(files))
+    if not parts:
+        raise FileNotFoundError(f"no files in {', '.join(paths)}")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def from_loader(spark: SparkSession, pages: Iterable, source_type: str, source_identifier: str) -> DataFrame:

@@ -164,3 +164,19 @@ def test_csv_and_json_documents(spark):
 
     e = explode_documents(docs.select(F.from_json("json", DOCUMENT).alias("d")).select("d.*")).first()
     assert (e.el_type, e.text, e.element_index) == ("text", "hello", 0)
+
+
+def test_files_are_loaded_by_their_type(spark, tmp_path):
+    from docloom.sources.documents import CONVERTERS, load_documents, register_converter
+
+    (tmp_path / "a.HTML").write_text("<p>one</p>")
+    (tmp_path / "b.html").write_text("<p>two</p><table><tr><td>1</td></tr></table>")
+    assert sorted((r.el_type, r.text) for r in load_documents(spark, str(tmp_path)).where("el_type = 'text'").collect()) == [("text", "one"), ("text", "two")]
+    (tmp_path / "c.csv").write_text("x,y\n1,2\n")
+    with pytest.raises(ValueError, match="tabular"):
+        load_documents(spark, str(tmp_path))
+    register_converter("tabular", tabular.read_csv_tables)
+    try:
+        assert sorted(r.el_type for r in load_documents(spark, str(tmp_path)).collect()) == ["table", "table", "text", "text"]
+    finally:
+        del CONVERTERS["tabular"]
