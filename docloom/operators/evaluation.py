@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.checkpoints import cut, let
@@ -31,7 +31,8 @@ def first_answers(answers: DataFrame) -> DataFrame:
 
 def _beside_truth(answers: DataFrame, compare: Comparators | None) -> DataFrame:
     """One row a source, model and class: _n (answers), and where the class has a truth _missing, _order (of the class) and _m: each true answer with the one it is matched with."""
-    given = answers.groupBy("source", "model", "class_id").agg(F.sort_array(F.collect_list(F.struct("seq", "key", "value", "meta_n"))).alias("_all"))
+    # Read twice, as the truth and as what is held against it.
+    given = cut(answers.groupBy("source", "model", "class_id").agg(F.sort_array(F.collect_list(F.struct("seq", "key", "value", "meta_n"))).alias("_all")))
     truth = given.where(F.col("model") == TRUTH).select("source", "class_id", F.col("_all").alias("_true"))
     both = given.join(truth, ["source", "class_id"], "left")
     alone = (F.size("_true") == 1) & (F.size("_all") == 1)
@@ -76,9 +77,8 @@ def by_source(answers: DataFrame, compare: Comparators | None = None, sum_missin
     count = lambda test: F.sum(F.coalesce(F.size(F.filter("_m", test)), F.lit(0)))
     met = lambda x: (x["status"] == "key") & (x["key"] != "") & (x["meta_n"] > 0)
     scores = rows.groupBy("source", "model").agg(F.count("*").alias("_n"), count(lambda x: x["correct"]).alias("total_correct"), count(met).alias("total_correct_meta_found"), F.coalesce(pick, F.lit(0)).alias("missing_answers"))
-    scores = cut(scores)  # read twice
-    true = scores.where(F.col("model") == TRUTH).select("source", F.col("_n").alias("_t"))
-    return scores.join(true, "source").select("source", "model", (F.col("_n") / F.col("_t")).alias("completion"), "total_correct", "total_correct_meta_found", "missing_answers")
+    true = F.max(F.when(F.col("model") == TRUTH, F.col("_n"))).over(Window.partitionBy("source"))
+    return scores.withColumn("_t", true).where("_t is not null").select("source", "model", (F.col("_n") / F.col("_t")).alias("completion"), "total_correct", "total_correct_meta_found", "missing_answers")
 
 
 def totals(scores: DataFrame) -> DataFrame:
@@ -102,7 +102,7 @@ def totals(scores: DataFrame) -> DataFrame:
 
 
 def evaluate(answers: DataFrame, compare: Comparators | None = None, sum_missing: bool = False) -> DataFrame:
-    return totals(by_source(cut(first_answers(answers)), compare, sum_missing))
+    return totals(by_source(first_answers(answers), compare, sum_missing))
 
 
 def costs(expenses: DataFrame) -> DataFrame:

@@ -94,13 +94,12 @@ def number_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     The result itself is as large as the pairs that share a number. Tables with equal sets of keys are compared once and named again at the end, so that
     what is joined are distinct sets; a number that very many of these have is split by Spark where it is skewed.
     """
-    sets = lambda d: d.select("id", F.array_sort(F.array_distinct("keys")).alias("_s")).where(F.size("_s") > 0)
-    sa, sb = sets(a), sets(b)
-    x = sa.select("_s").distinct().select(F.col("_s").alias("_sa"), F.explode("_s").alias("k"))
-    y = sb.select("_s").distinct().select(F.col("_s").alias("_sb"), F.explode("_s").alias("k"))
-    common = x.join(y, "k").groupBy("_sa", "_sb").agg(F.count("*").alias("common"))
-    named = common.join(sa.select(F.col("id").alias("id_a"), F.col("_s").alias("_sa")), "_sa").join(sb.select(F.col("id").alias("id_b"), F.col("_s").alias("_sb")), "_sb")
-    return named.select("id_a", "id_b", "common")
+    named = lambda d: d.select("id", F.array_sort(F.array_distinct("keys")).alias("_k")).where(F.size("_k") > 0).select("id", "_k", F.sha2(F.array_join(F.transform("_k", lambda k: k.cast("string")), ","), 256).alias("_s"))
+    sa, sb = named(a), named(b)
+    once = lambda d, name: d.dropDuplicates(["_s"]).select(F.col("_s").alias(name), F.explode("_k").alias("k"))
+    common = once(sa, "_sa").join(once(sb, "_sb"), "k").groupBy("_sa", "_sb").agg(F.count("*").alias("common"))
+    out = common.join(sa.select(F.col("id").alias("id_a"), F.col("_s").alias("_sa")), "_sa").join(sb.select(F.col("id").alias("id_b"), F.col("_s").alias("_sb")), "_sb")
+    return out.select("id_a", "id_b", "common")
 
 
 def offsets(tables: DataFrame) -> DataFrame:
