@@ -220,10 +220,29 @@ SELECT a.f AS warc_file, page_id, CAST(a.y - a.n AS BIGINT) AS start_offset, CAS
 FROM a JOIN b USING (page_id) WHERE a.digest <> b.digest OR a.y <> b.y OR a.n <> b.n
 """
 
+_LAID = "SELECT page_id, f, digest, y - n AS s, y AS e FROM (SELECT *, sum(n) OVER (PARTITION BY f ORDER BY page_id, digest ROWS UNBOUNDED PRECEDING) AS y FROM (SELECT page_id, f, sha256(rec) AS digest, strlen(rec) AS n FROM ({})))"
+
+OP7_LOSSES = f"""
+WITH damaged AS (
+  SELECT page_id, url, CASE WHEN page_id % 97 = 13 THEN substr(html, 1, length(html) // 2) || chr(0) || substr(html, length(html) // 2 + 2)
+    WHEN page_id % 211 = 7 THEN substr(html, 1, length(html) - 10) ELSE html END AS html FROM pages),
+incomplete AS (SELECT page_id, url, html FROM damaged WHERE page_id % 61 <> 41 UNION ALL SELECT page_id, url || '#again', html FROM pages WHERE page_id % 83 = 29),
+a AS (SELECT *, row_number() OVER (PARTITION BY f, page_id, digest ORDER BY s) AS k, 0 AS side FROM ({_LAID.format(_RECORD.format(source="pages"))})),
+b AS (SELECT *, row_number() OVER (PARTITION BY f, page_id, digest ORDER BY s) AS k, 1 AS side FROM ({_LAID.format(_RECORD.format(source="incomplete"))})),
+rest AS (
+  SELECT *, row_number() OVER (PARTITION BY f, page_id, side ORDER BY digest, s) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM b) r
+  WHERE NOT EXISTS (SELECT 1 FROM (SELECT * FROM a UNION ALL SELECT * FROM b) o WHERE o.f = r.f AND o.page_id = r.page_id AND o.digest = r.digest AND o.k = r.k AND o.side <> r.side)),
+found AS (
+  SELECT a.f, a.page_id, a.s, a.e, 'moved' AS state FROM a JOIN b USING (f, page_id, digest, k) WHERE a.s <> b.s OR a.e <> b.e
+  UNION ALL SELECT coalesce(x.f, y.f), coalesce(x.page_id, y.page_id), coalesce(x.s, y.s), coalesce(x.e, y.e), CASE WHEN x.f IS NULL THEN 'extra' WHEN y.f IS NULL THEN 'missing' ELSE 'changed' END
+  FROM (SELECT * FROM rest WHERE side = 0) x FULL JOIN (SELECT * FROM rest WHERE side = 1) y ON x.f = y.f AND x.page_id = y.page_id AND x.n = y.n)
+SELECT f AS warc_file, page_id, CAST(s AS BIGINT) AS start_offset, CAST(e AS BIGINT) AS end_offset, state FROM found
+"""
+
 OP10 = """
 SELECT doc_id, keep_doc_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS keep_doc_id FROM documents) WHERE doc_id <> keep_doc_id
 """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_document_edits": OP1_EDITS, "op1_document_fingerprints": OP1, "op3_mixing": OP3, "op5_chat_formatting": OP5, "op7_warc_fixity": OP7, "op10_exact_dedup": OP10}
+    return {"op1_document_edits": OP1_EDITS, "op1_document_fingerprints": OP1, "op3_mixing": OP3, "op5_chat_formatting": OP5, "op7_warc_fixity": OP7, "op7_warc_losses": OP7_LOSSES, "op10_exact_dedup": OP10}
