@@ -1,8 +1,8 @@
 """Substring dedup with a compressed FM-index per shard.
 
-FmIndex holds a shard's words: the Burrows-Wheeler transform in a wavelet matrix (bit planes with rank counts), the longest
-common prefixes of neighbouring suffixes with their previous and next smaller values (the parent operation), and the document
-of each suffix. Streamed texts are searched backward, thousands of windows in step with each other: a match is extended
+FmIndex holds a shard's words: the Burrows-Wheeler transform in a wavelet matrix (bit planes with rank counts, as many as the
+shard's alphabet needs), the longest common prefixes of neighbouring suffixes (a byte each) with their previous and next smaller values (the parent
+operation), and the document of each suffix, as 32-bit numbers: about 20 bytes a word, the texts themselves aren't kept. Streamed texts are searched backward, thousands of windows in step with each other: a match is extended
 to the left as long as it occurs in another document; when it no longer does, it is cut from the right to the parent's
 length. These are the matching statistics; stretches of at least MIN_WORDS are reported.
 
@@ -12,9 +12,11 @@ a match can reach before its next anchor; every match lies in the windows of its
 never shorter than MIN_WORDS. Windows of one anchor meet in the anchor's shard. Anchors of one document alone are
 left out. Windows that agree in several documents as a whole (told by 128 bits of hashes) are results without a
 search and are indexed once, if others differ. The number of shards follows from the amount of text; a shard
-that is larger than PART_WORDS, for an anchor that very many documents have, is split by documents and searched with all its windows in each part. The result is exact.
+that is larger than PART_WORDS, for an anchor that very many documents have, is split by documents and searched with all its windows in each part.
+No candidate is left out. Words are told by 64 bits of hash, windows by 128, documents by 64 bits of their id and text, and these aren't
+verified against the bytes; but for collisions of them the result is exact.
 
-Words are runs of anything but white space, compared as they are. A result is a run of words each of which is part of a
+Words are runs of anything but white space, with all their signs. A result is a run of words each of which is part of a
 stretch of MIN_WORDS words that another document has too.
 
 Defined cases: null, empty and shorter texts have no results; several rows of one id and one text are one document; rows of
@@ -167,12 +169,15 @@ class FmIndex:
         self.names, dense = np.unique(docs, return_inverse=True)
         if common is not None:
             dense = np.where(common, len(self.names) + np.arange(pieces), dense)
-        self.doc = np.repeat(dense, np.diff(first) + 1)[order].astype(np.int64)
-        change = np.append(np.flatnonzero(self.doc[1:] != self.doc[:-1]) + 1, n)
+        self.doc = np.repeat(dense.astype(np.int32), np.diff(first) + 1)[order]
+        change = np.append(np.flatnonzero(self.doc[1:] != self.doc[:-1]) + 1, n).astype(np.int32)
         self.other = change[np.searchsorted(change, np.arange(n), "right")] if n else change
-        self.lcp = common_prefixes(order, ranks)
+        # No prefix is longer than a piece, so that a byte or two hold it.
+        lcp = common_prefixes(order, ranks)
         del ranks
-        self.left, self.right = smaller(self.lcp)
+        self.lcp = lcp.astype(np.min_scalar_type(int(lcp.max(initial=0))))
+        self.left, self.right = (x.astype(np.int32) for x in smaller(lcp))
+        del lcp
         self.matrix = WaveletMatrix(text[order - 1], alphabet)
         self.start = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=alphabet))])
 
