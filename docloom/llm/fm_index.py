@@ -402,11 +402,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     marks = cut(marks.where("_meet").select("_d", "_from", "_to", "_anchor", "_same", (~F.col("_same") | ((F.col("_n") == 1) & F.col("_open"))).alias("_cut")))
     done = marks.where("_same").select("_d", "_from", "_to")
     spans = marks.where("_cut")
-    total, n_spans = spans.agg(F.sum(F.col("_to") - F.col("_from")), F.count("*")).first()
+    total = spans.agg(F.sum(F.col("_to") - F.col("_from"))).first()[0]
     placed = spans.groupBy("_d").agg(F.collect_list(F.struct("_from", "_to", "_anchor", F.col("_same").alias("_common"))).alias("_spans"))
-    wanted = spans.select(F.col("_d").alias("_w")).distinct()
+    wanted = cut(spans.select(F.col("_d").alias("_w")).distinct())
     # Of the texts without windows nothing is moved, as long as the list of those with windows is short.
-    some = join_checked(texts.select("_d", "_t"), wanted, F.col("_d") == F.col("_w"), "left_semi", 32 * n_spans).dropDuplicates(["_d"])
+    some = join_checked(texts.select("_d", "_t"), wanted, F.col("_d") == F.col("_w"), "left_semi", size_of(wanted)).dropDuplicates(["_d"])
     windows = arrow_map(some.join(placed, "_d").select("_d", "_t", "_spans"), _windows, "_d bigint, _from int, _anchor bigint, _common boolean, _text binary")
     shard = F.pmod(F.xxhash64("_anchor"), F.lit(max(1, -(-(total or 0) // shard_words)))).cast("int")
     parts = cut(spans.groupBy(shard.alias("_shard")).agg(F.ceil(F.sum(F.col("_to") - F.col("_from")) / part_words).cast("int").alias("_parts")).where("_parts > 1"))
