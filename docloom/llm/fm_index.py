@@ -7,8 +7,9 @@ to the left as long as it occurs in another document; when it no longer does, it
 length. These are the matching statistics; stretches of at least MIN_WORDS are reported.
 
 Which text meets which shard: of each MIN_WORDS - GRAM + 1 consecutive word GRAM-grams the smallest hash is an anchor
-(winnowing), so every match of MIN_WORDS holds an anchor that both texts have. Around an anchor lies a window, as far as
-a match can reach before its next anchor; every match lies in the windows of its anchors, and what a window holds of it is
+(winnowing), so every match of MIN_WORDS holds an anchor that both texts have. Where an anchor comes again and again, as in runs of one word, only
+as many stay as each match needs to hold one of the same hash. Around an anchor lies a window, as far as
+a match of MIN_WORDS with it can reach; every match lies in the windows of its anchors, and what a window holds of it is
 never shorter than MIN_WORDS. Windows of one anchor meet in the anchor's shard. Anchors of one document alone are
 left out. Windows that agree in several documents as a whole (told by 128 bits of hashes) are results without a
 search and are indexed once, if others differ. The number of shards follows from the amount of text; a shard
@@ -154,6 +155,8 @@ class FmIndex:
     def __init__(self, words: np.ndarray, first: np.ndarray, docs: np.ndarray, common: np.ndarray | None = None) -> None:
         """words: hashes of all pieces' words; first: each piece's first word and the end; docs: each piece's document; common: which pieces stand for several documents, so that they are another one for each."""
         self.vocabulary, ids = np.unique(words, return_inverse=True)
+        #: The symbols of words.
+        self.symbols = ids
         pieces, sigma = len(first) - 1, len(self.vocabulary)
         # Each piece ends with a symbol of its own, which no search can cross.
         ends = first[1:] + np.arange(pieces)
@@ -232,7 +235,8 @@ class FmIndex:
             length[ok] += 1
             at[ok] -= 1
             at[skip] -= 1
-            over = at < first
+            # What a window's matches can still hold is too short once they end before its first ``least`` words do.
+            over = (at < first) | (at + 1 + length < first + least)
             if over.any():
                 report(np.flatnonzero(over & (length >= least)))
                 keep = ~over
@@ -266,9 +270,26 @@ def anchors(words: np.ndarray, first: np.ndarray, least: int = MIN_WORDS, gram:
     n += w - 1
     high = window(np.maximum, np.concatenate([pad, low, pad]))[: len(words)]
     at = np.flatnonzero((high == h) & (h != INF))
+    at = at[thinned(row[at], at, h[at], w)]
     return row[at], at - first[row[at]], h[at]
 
 
+def thinned(row: np.ndarray, at: np.ndarray, h: np.ndarray, w: int) -> np.ndarray:
+    """Which anchors stay where one hash comes again and again, as in a run of one word: of such a chain the first, the last and as many between them as leave no gap above w.
+
+    Any w consecutive positions that hold one of a chain so hold one that stays, and equal stretches of two texts still meet by their hash, if not at the same place.
+    """
+    if not len(at):
+        return np.zeros(0, bool)
+    gap = np.diff(at)
+    new = np.append(True, (row[1:] != row[:-1]) | (h[1:] != h[:-1]) | (gap > w))
+    start = np.flatnonzero(new)
+    size = np.diff(np.append(start, len(at)))
+    widest = np.maximum.reduceat(np.where(new, 1, np.append(1, gap)), start)
+    nth = np.arange(len(at)) - np.repeat(start, size)
+    return (nth % np.repeat(w // widest, size) == 0) | np.append(new[1:], True)
+
+
 def window_hashes(words: np.ndarray, first: np.ndarray, row: np.ndarray, pos: np.ndarray, reach: int, gram: int) -> np.ndarray:
     """Of each anchor a hash of its window's words and of where it lies in it; by differences of polynomial sums."""
     n = len(words)
@@ -342,8 +363,8 @@ def _search(least: int):
             counts.append(np.diff(first))
         return np.concatenate(words) if words else np.zeros(0, np.uint64), np.cumsum(np.concatenate(counts))
 
-    def search(index: FmIndex, words: np.ndarray, first: np.ndarray, docs: np.ndarray, start: np.ndarray, which: np.ndarray) -> pa.RecordBatch | None:
-        s, x, y = index.matches(index.number(words), first[:-1][which], first[1:][which], index.document(docs[which]), least)
+    def search(index: FmIndex, symbols: np.ndarray, first: np.ndarray, docs: np.ndarray, start: np.ndarray, which: np.ndarray) -> pa.RecordBatch | None:
+        s, x, y = index.matches(symbols, first[:-1][which], first[1:][which], index.document(docs[which]), least)
         if not len(s):
             return None
         p = which[s]
@@ -362,7 +383,7 @@ def _search(least: int):
             words, first, docs, start, common = load(held)
             held = []
             index = FmIndex(words, first, docs, common)
-            if (out := search(index, words, first, docs, start, np.flatnonzero(~common))) is not None:
+            if (out := search(index, index.symbols, first, docs, start, np.flatnonzero(~common))) is not None:
                 yield out
 
         for batch in batches:
@@ -383,7 +404,7 @@ def _search(least: int):
                     yield from build()
                 if index is not None:
                     words, first, docs, start, _ = load([batch.slice(a, b - a)])
-                    if (out := search(index, words, first, docs, start, np.arange(len(docs)))) is not None:
+                    if (out := search(index, index.number(words), first, docs, start, np.arange(len(docs)))) is not None:
                         yield out
         if held:
             yield from build()
