@@ -124,7 +124,8 @@ def match_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_suppkey, CAST(round(avg(abs(l_extendedprice)), 4) AS DECIMAL(18,2))::VARCHAR AS mean FROM lineitem GROUP BY l_suppkey")
 def column_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(text2(F.round(N.mean_abs(F.col("l_extendedprice")), 4)).alias("mean"))
+    """Prices are decimals, so that no mean depends on the order in which they are added up."""
+    return read(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(text2(F.round(N.mean_abs(F.col("l_extendedprice").cast(N.DECIMAL)), 4)).alias("mean"))
 
 
 # --- texts --------------------------------------------------------------------------------------------------------
