@@ -7,10 +7,11 @@ document by document in Python, on the few numbers that describe its locations;
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.operators.neighbours import DOC, IDX, in_order
@@ -185,19 +186,33 @@ def output_columns(groups: DataFrame, structured: DataFrame) -> DataFrame:
     values = F.transform("numeric_cols", lambda c, k: F.struct(c.alias("col"), F.transform("line_items", lambda i: F.get(i["values"], k)).alias("values")))
     means = F.transform("numeric_cols", lambda c: F.coalesce(F.aggregate(F.filter(F.transform("grid", lambda r: F.get(r, c)["num"]), lambda v: v.isNotNull()), F.lit(0.0), lambda s, v: s + F.abs(v).cast("double")) / F.nullif(F.size(F.filter("grid", lambda r: F.get(r, c)["num"].isNotNull())), F.lit(0)), F.lit(0.0)))
     tables = structured.select(DOC, IDX, F.transform("line_items", lambda i: i["caption"]).alias("captions"), values.alias("columns"), means.alias("means"))
-    rows = groups.join(tables, [DOC, IDX])
+    part = F.struct("part", IDX, "detected_class", "collapse", "captions", "columns", "means")
+    rows = groups.join(tables, [DOC, IDX]).groupBy(DOC, "group_id").agg(F.sort_array(F.collect_list(part)).alias("_parts"))
+    widths = F.array_distinct(F.transform("_parts", lambda p: F.size(p["columns"])))
+    # Of parts that all have as many columns each goes where it stands, which takes no search; such groups need no Python.
+    alike = (F.size(widths) == 1) & ~F.get("_parts", F.lit(0))["collapse"]
 
-    def run(table: pa.Table) -> pa.Table:
-        parts = sorted(table.to_pylist(), key=lambda p: p["part"])
-        head = parts[0]
-        out = [
-            {DOC: head[DOC], "group_id": head["group_id"], "detected_class": head["detected_class"], "col_idx": c["col_idx"], "original_col": c["original"], IDX: c["element_index"], "pairs": [{"line_item": x, "value": v} for x, v in c["pairs"]]}
-            for c in align(parts, head["collapse"])
-        ]
-        pair = pa.struct([("line_item", pa.string()), ("value", pa.decimal128(38, 10))])
-        return pa.Table.from_pylist(out, schema=pa.schema([(DOC, pa.string()), ("group_id", pa.int32()), ("detected_class", pa.string()), ("col_idx", pa.int32()), ("original_col", pa.int32()), (IDX, pa.int32()), ("pairs", pa.list_(pair))]))
+    def pairs(k: Column) -> Column:
+        return F.flatten(F.transform("_parts", lambda p: F.zip_with(p["captions"], F.get(p["columns"], k)["values"], lambda x, v: F.struct(x.alias("line_item"), v.cast("decimal(38,10)").alias("value")))))
 
-    return rows.groupBy(DOC, "group_id").applyInArrow(run, f"{DOC} string, group_id int, detected_class string, col_idx int, original_col int, {IDX} int, pairs array<struct<line_item:string,value:decimal(38,10)>>")
+    head = F.get("_parts", F.lit(0))
+    column = lambda c, k: F.struct(k.alias("col_idx"), c["col"].cast("int").alias("original_col"), pairs(k).alias("pairs"))
+    straight = rows.where(alike).select(DOC, "group_id", head["detected_class"].alias("detected_class"), head[IDX].cast("int").alias(IDX), F.explode_outer(F.transform(head["columns"], column)).alias("_c")).where("_c is not null")
+    straight = straight.select(DOC, F.col("group_id").cast("int").alias("group_id"), "detected_class", "_c.col_idx", "_c.original_col", IDX, "_c.pairs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair = pa.struct([("line_item", pa.string()), ("value", pa.decimal128(38, 10))])
+        schema = pa.schema([(DOC, pa.string()), ("group_id", pa.int32()), ("detected_class", pa.string()), ("col_idx", pa.int32()), ("original_col", pa.int32()), (IDX, pa.int32()), ("pairs", pa.list_(pair))])
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                parts = row["_parts"]
+                for c in align(parts, parts[0]["collapse"]):
+                    out.append({DOC: row[DOC], "group_id": row["group_id"], "detected_class": parts[0]["detected_class"], "col_idx": c["col_idx"], "original_col": c["original"], IDX: c["element_index"], "pairs": [{"line_item": x, "value": v} for x, v in c["pairs"]]})
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    searched = rows.where(~alike).mapInArrow(run, f"{DOC} string, group_id int, detected_class string, col_idx int, original_col int, {IDX} int, pairs array<struct<line_item:string,value:decimal(38,10)>>")
+    return straight.unionByName(searched)
 
 
 def best_in_proximity(groups: DataFrame, distances: DataFrame, close: int = CLOSE_DISTANCE) -> DataFrame:

@@ -207,7 +207,8 @@ def output_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     cell = lambda v: F.struct(v.cast("decimal(38,10)").alias("num"))
     tables = rows.groupBy("source_identifier", "element_index").agg(F.sort_array(F.collect_list(F.struct("k", "caption", "values"))).alias("r"))
     tables = tables.select("source_identifier", "element_index", F.array(F.lit(0), F.lit(1)).alias("numeric_cols"), F.transform("r", lambda i: F.struct(i["caption"].alias("caption"), i["values"].alias("values"))).alias("line_items"), F.transform("r", lambda i: F.transform(i["values"], cell)).alias("grid"))
-    groups = tables.select("source_identifier", F.lit(0).alias("group_id"), F.lit("t").alias("detected_class"), "element_index", F.col("element_index").alias("part"), F.lit(False).alias("collapse"), F.lit(0.8).alias("prob"))
+    places = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("source_identifier")).distinct().select("source_identifier", F.explode(F.array(F.lit(0), F.lit(1))).alias("element_index"))
+    groups = places.select("source_identifier", F.lit(0).alias("group_id"), F.lit("t").alias("detected_class"), "element_index", F.col("element_index").alias("part"), F.lit(False).alias("collapse"), F.lit(0.8).alias("prob"))
     out = D.output_columns(groups, tables)
     return out.select("source_identifier", F.col("col_idx").cast("bigint").alias("col_idx"), F.array_join(F.transform("pairs", lambda p: F.concat(p["line_item"], F.lit("="), p["value"].cast("bigint").cast("string"))), ";").alias("pairs"))
 
