@@ -13,22 +13,22 @@ DASHES = "[\\-‒-―−]"
 
 
 def _null_blank(s: Column) -> Column:
-    return F.when(F.trim(F.regexp_replace(s, r"\s", " ")) != "", s)
+    return F.when(s.rlike(r"\S"), s)
 
 
 def is_negative(s: Column) -> Column:
     """Whether there is a dash anywhere or a bracket before nothing but digits, blanks and separators."""
-    return s.rlike(DASHES) | s.rlike(r"\([0-9 %.,]+(?:\b|\))")
+    return s.rlike(DASHES) | (s.contains("(") & s.rlike(r"\([0-9 %.,]+(?:\b|\))"))
 
 
 def comma_thousands(s: Column) -> Column:
     """Whether a comma stands before exactly three digits."""
-    return s.rlike(r"\b\d{1,3},\d{3}\b")
+    return s.contains(",") & s.rlike(r"\b\d{1,3},\d{3}\b")
 
 
 def dot_thousands(s: Column) -> Column:
     """Whether a dot stands before three digits that another separator and digit follow."""
-    return s.rlike(r"\b\d{1,3}\.\d{3}[.,]\d")
+    return s.contains(".") & s.rlike(r"\b\d{1,3}\.\d{3}[.,]\d")
 
 
 def clean_number(s: Column) -> Column:

@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.checkpoints import let, staged
 from docloom.functions.numeric import clean_number, is_number_cell, is_year_cell, match_key
-from docloom.functions.text import clean_spaces, composition, words
+from docloom.functions.text import clean_spaces, words
 
 #: Ids of cells: a row's number times this plus the cell's place in it.
 _ROW = 1 << 20
@@ -19,13 +20,14 @@ _ROW = 1 << 20
 
 def cell_text(val: Column) -> Column:
     """A cell's text with plain blanks, one of them before a bracket."""
-    return F.regexp_replace(F.replace(F.coalesce(val, F.lit("")), F.lit("\u00a0"), F.lit(" ")), r"([^()\s]+)\((.+\))", "$1 ($2")
+    plain = F.replace(F.coalesce(val, F.lit("")), F.lit("\u00a0"), F.lit(" "))
+    return let(plain, lambda v: F.when(v.contains("("), F.regexp_replace(v, r"([^()\s]+)\((.+\))", "$1 ($2")).otherwise(v))
 
 
 def cell_kind(val: Column) -> Column:
     """numeric, text, special (signs beside digits) or null."""
-    c = composition(val)
-    return F.when(is_number_cell(val), "numeric").when(c["text"] > 0, "text").when(c["special"] > 0, "special").otherwise("null")
+    words_only = F.when(val.rlike("[a-zA-Z]"), "text").otherwise("null")
+    return F.when(~val.rlike("[0-9]"), words_only).when(is_number_cell(val), "numeric").when(val.rlike("[a-zA-Z]"), "text").when(val.rlike("[^ 0-9a-zA-Z]"), "special").otherwise("null")
 
 
 def cell_value(cell: Column) -> Column:
@@ -34,14 +36,16 @@ def cell_value(cell: Column) -> Column:
 
 
 def contains_value(cell: Column) -> Column:
-    return F.coalesce(F.trim(F.regexp_replace(cell["val"], r"\s", " ")) != "", F.lit(False))
+    return F.coalesce(cell["val"].rlike(r"\S"), F.lit(False))
 
 
 def _cell(id_: Column, val: Column, clean: bool) -> Column:
-    val = cell_text(val) if clean else F.coalesce(val, F.lit(""))
-    kind = cell_kind(val) if clean else F.lit("text")
-    number = F.when(kind == "numeric", clean_number(val)) if clean else F.lit(None).cast("decimal(38,10)")
-    return F.struct(id_.cast("bigint").alias("id"), val.alias("val"), kind.alias("kind"), number.alias("num"))
+    def whole(val: Column, kind: Column, number: Column) -> Column:
+        return F.struct(id_.cast("bigint").alias("id"), val.alias("val"), kind.alias("kind"), number.alias("num"))
+
+    if not clean:
+        return whole(F.coalesce(val, F.lit("")), F.lit("text"), F.lit(None).cast("decimal(38,10)"))
+    return let(cell_text(val), lambda v: let(cell_kind(v), lambda k: whole(v, k, F.when(k == "numeric", clean_number(v)))))
 
 
 def _range(n: Column) -> Column:
@@ -53,12 +57,23 @@ def grid(tables: DataFrame, rows_col: str = "rows", clean: bool = True) -> DataF
     """tables with ``grid``: rows of cells (id, val, kind, num), spans expanded, short rows padded, repeated columns dropped; and ``kept``: the columns that were kept."""
     rows = F.coalesce(F.col(rows_col), F.array().cast(tables.schema[rows_col].dataType))
     cells = F.transform(rows, lambda r, i: F.flatten(F.transform(r["values"], lambda v, j: F.array_repeat(_cell(i * _ROW + j, v["val"], clean), F.coalesce(v["colspan"], F.lit(1))))))
-    out = tables.withColumn("_cells", cells).withColumn("_width", F.coalesce(F.array_max(F.transform("_cells", F.size)), F.lit(0)))
-    pad = F.transform("_cells", lambda r, i: F.concat(r, F.transform(_range(F.col("_width") - F.size(r)), lambda j: _cell(-(i * _ROW + j) - 1, F.lit(""), clean))))
-    out = out.withColumn("_cells", pad)
-    repeated = F.filter(_range(F.col("_width")), lambda c: (c > 0) & F.forall("_cells", lambda r: (F.get(r, c)["id"] == F.get(r, c - 1)["id"]) | (~contains_value(F.get(r, c)) & ~contains_value(F.get(r, c - 1)))))
-    out = out.withColumn("kept", F.array_except(_range(F.col("_width")), repeated) if clean else _range(F.col("_width")))
-    return out.withColumn("grid", F.transform("_cells", lambda r: F.transform("kept", lambda c: F.get(r, c)))).drop("_cells", "_width")
+
+    def padded(cells: Column) -> Column:
+        blank = lambda r, i, w: F.transform(_range(w - F.size(r)), lambda j: _cell(-(i * _ROW + j) - 1, F.lit(""), clean))
+        return let(F.coalesce(F.array_max(F.transform(cells, F.size)), F.lit(0)), lambda w: F.transform(cells, lambda r, i: F.when(F.size(r) < w, F.concat(r, blank(r, i, w))).otherwise(r)))
+
+    def repeated(cells: Column, c: Column) -> Column:
+        return (c > 0) & F.forall(cells, lambda r: (F.get(r, c)["id"] == F.get(r, c - 1)["id"]) | (~contains_value(F.get(r, c)) & ~contains_value(F.get(r, c - 1))))
+
+    def kept(cells: Column) -> Column:
+        columns = _range(F.coalesce(F.size(F.get(cells, F.lit(0))), F.lit(0)))
+        return F.filter(columns, lambda c: ~F.coalesce(repeated(cells, c), F.lit(False))) if clean else columns
+
+    def whole(cells: Column) -> Column:
+        return let(kept(cells), lambda ks: F.struct(ks.alias("kept"), F.transform(cells, lambda r: F.transform(ks, lambda c: F.get(r, c))).alias("grid")))
+
+    # Staged, or explosions of the grid would have all of this worked out again for the rows and cells that they look for.
+    return staged(tables, _g=let(let(cells, padded), whole)).withColumns({"kept": F.col("_g.kept"), "grid": F.col("_g.grid")}).drop("_g")
 
 
 def structure(tables: DataFrame, rows_col: str = "rows") -> DataFrame:
@@ -66,10 +81,12 @@ def structure(tables: DataFrame, rows_col: str = "rows") -> DataFrame:
     out = grid(tables, rows_col)
     cols = _range(F.size("kept"))
 
-    def count(c: Column, kind: str) -> Column:
-        return F.size(F.filter("grid", lambda r: F.get(r, c)["kind"] == kind))
+    def mostly(c: Column) -> Column:
+        """Whether a column has numbers, and more of them than texts."""
+        count = lambda kinds, kind: F.size(F.filter(kinds, lambda k: k == kind))
+        return let(F.transform("grid", lambda r: F.get(r, c)["kind"]), lambda kinds: let(count(kinds, "numeric"), lambda n: (n >= 1) & (n > count(kinds, "text"))))
 
-    out = out.withColumn("_n0", F.filter(cols, lambda c: (count(c, "numeric") >= 1) & (count(c, "numeric") > count(c, "text"))))
+    out = out.withColumn("_n0", F.filter(cols, mostly))
     out = out.withColumn("empty_cols", F.when(F.size("grid") > 0, F.filter(cols, lambda c: F.forall("grid", lambda r: F.get(r, c)["kind"] == "null"))).otherwise(F.array().cast("array<int>")))
     out = out.withColumn("_ids", F.transform("_n0", lambda c: F.transform(F.filter("grid", lambda r: F.get(r, c)["kind"] == "numeric"), lambda r: F.get(r, c)["id"])))
     ids, n = F.col("_ids"), F.size("_n0")
@@ -95,11 +112,11 @@ def structure(tables: DataFrame, rows_col: str = "rows") -> DataFrame:
 
     def caption(r: Column) -> Column:
         values = F.transform(F.filter("numeric_cols", lambda c: F.get(r, c)["kind"] == "numeric"), lambda c: F.get(r, c)["id"])
-        own = F.array_distinct(F.transform(F.filter(r, lambda x: ~F.array_contains(values, x["id"])), lambda x: F.struct(x["id"].alias("id"), x["val"].alias("val"))))
+        own = let(values, lambda vs: F.array_distinct(F.transform(F.filter(r, lambda x: ~F.array_contains(vs, x["id"])), lambda x: F.struct(x["id"].alias("id"), x["val"].alias("val")))))
         text = clean_spaces(F.array_join(F.transform(own, lambda x: F.regexp_replace(x["val"], r"^\s+|\s+$", "")), " "))
-        return F.when(text != "", text).otherwise("n/a")
+        return let(text, lambda t: F.when(t != "", t).otherwise("n/a"))
 
-    item = F.transform("numeric_rows", lambda i: F.struct(i.alias("row"), caption(F.get("grid", i)).alias("caption"), F.transform("numeric_cols", lambda c: F.get(F.get("grid", i), c)["num"]).alias("values")))
+    item = F.transform("numeric_rows", lambda i: let(F.get("grid", i), lambda r: F.struct(i.alias("row"), caption(r).alias("caption"), F.transform("numeric_cols", lambda c: F.get(r, c)["num"]).alias("values"))))
     return out.withColumn("line_items", item)
 
 
