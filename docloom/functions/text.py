@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docloom.checkpoints import let
+
 #: What ends a line: besides \n and \r also vertical tabs, form feeds, separators and their Unicode kin.
 LINE_ENDS = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
 
@@ -22,7 +24,7 @@ def iso_date(s: Column) -> Column:
 def words(s: Column, lower: bool = False) -> Column:
     """Runs of letters, digits, per cent and currency signs."""
     s = F.lower(s) if lower else s
-    return F.filter(F.split(F.regexp_replace(s, "[^%$£€¥0-9a-zA-Z]", " "), " "), lambda w: w != "")
+    return F.filter(F.split(F.regexp_replace(s, "[^%$£€¥0-9a-zA-Z]+", " "), " "), lambda w: w != "")
 
 
 def clean_spaces(s: Column) -> Column:
@@ -50,14 +52,15 @@ def clean_for_vectors(s: Column, base_year: int | None = None, drop_special: boo
 
 def composition(s: Column) -> Column:
     """Shares of digits and letters among both, and of signs among all characters; all 0 without digits or letters."""
-    alnum = F.length(F.regexp_replace(s, "[^0-9a-zA-Z]", ""))
-    digits = F.length(F.regexp_replace(s, "[^0-9]", ""))
-    signs = F.length(F.regexp_replace(s, "[ 0-9a-zA-Z]", ""))
+    # Runs go as wholes, and digits are looked for only among what is left; lengths are taken once for all shares.
+    kept = let(F.regexp_replace(s, "[^0-9a-zA-Z]+", ""), lambda x: F.struct(F.length(x).alias("alnum"), F.length(F.regexp_replace(x, "[^0-9]+", "")).alias("digits")))
+    signs = F.length(F.regexp_replace(s, "[ 0-9a-zA-Z]+", ""))
 
-    def share(a: Column, b: Column) -> Column:
-        return F.when(alnum > 0, a / b).otherwise(F.lit(0.0))
+    def shares(n: Column) -> Column:
+        share = lambda a, b: F.when(n["alnum"] > 0, a / b).otherwise(F.lit(0.0))
+        return F.struct(share(n["digits"], n["alnum"]).alias("numbers"), share(n["alnum"] - n["digits"], n["alnum"]).alias("text"), share(signs, F.length(s)).alias("special"))
 
-    return F.struct(share(digits, alnum).alias("numbers"), share(alnum - digits, alnum).alias("text"), share(signs, F.length(s)).alias("special"))
+    return let(kept, shares)
 
 
 def identifier(s: Column) -> Column:
