@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.checkpoints import cut, let
+from docloom.checkpoints import let
 
 TRUTH = "assigned"
 #: By class, what says whether an expected and an actual value are the same.
@@ -25,16 +25,17 @@ def first_answers(answers: DataFrame) -> DataFrame:
     first = F.min_by(kept, "seq")
     if "full_key" in answers.columns:
         first = F.coalesce(F.max_by(kept, F.when(F.col("full_key") != F.col("key"), F.col("seq"))), first)
-    one = answers.groupBy("source", "model", "class_id", "key").agg(first.alias("_a"))
+    # By source, as all that follows is, so that answers are moved once.
+    one = answers.repartition("source").groupBy("source", "model", "class_id", "key").agg(first.alias("_a"))
     return one.select("source", "model", "class_id", "key", "_a.value", "_a.seq", "_a.meta_n")
 
 
 def _beside_truth(answers: DataFrame, compare: Comparators | None) -> DataFrame:
     """One row a source, model and class: _n (answers), and where the class has a truth _missing, _order (of the class) and _m: each true answer with the one it is matched with."""
-    # Read twice, as the truth and as what is held against it.
-    given = cut(answers.groupBy("source", "model", "class_id").agg(F.sort_array(F.collect_list(F.struct("seq", "key", "value", "meta_n"))).alias("_all")))
-    truth = given.where(F.col("model") == TRUTH).select("source", "class_id", F.col("_all").alias("_true"))
-    both = given.join(truth, ["source", "class_id"], "left")
+    given = answers.groupBy("source", "class_id", "model").agg(F.sort_array(F.collect_list(F.struct("seq", "key", "value", "meta_n"))).alias("_all"))
+    # All models' answers to a question stand in one row, so that the truth is beside them without a join.
+    asked = given.groupBy("source", "class_id").agg(F.collect_list(F.struct("model", "_all")).alias("_models"), F.first(F.when((F.col("model") == TRUTH) & F.col("source").isNotNull() & F.col("class_id").isNotNull(), F.col("_all")), ignorenulls=True).alias("_true"))
+    both = asked.select("source", "class_id", "_true", F.inline("_models"))
     alone = (F.size("_true") == 1) & (F.size("_all") == 1)
 
     def same(t: Column, x: Column, status: Column) -> Column:
