@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,9 @@ from pyspark.sql import functions as F
 from docloom.operators.tables import rows_from_items
 from docloom.schemas import NOT_CONFIGURED, ROWS
 
+#: Bytes of files after which their tables go on.
+TOGETHER = 1 << 20
+
 
 def delimiter(content: Column) -> Column:
     """Of comma and semicolon the more frequent (the latter for equals): struct of delim, share, total."""
@@ -43,15 +48,27 @@ def parse(data: bytes, max_rows: int | None = None) -> list[list[str]]:
 def read_csv_tables(files: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Each file (source_identifier, content) as one table element with plain text cells. A file is parsed as a whole, as its rows have one width."""
 
-    cell = pa.struct([("val", pa.string()), ("colspan", pa.int32())])
-    kind = pa.list_(pa.struct([("row_type", pa.string()), ("values", pa.list_(cell))]))
+    def ends(sizes: Iterator[int]) -> pa.Array:
+        return pa.array(list(accumulate(sizes, initial=0)), pa.int32())
+
+    def column(tables: list[list[list[str]] | None]) -> pa.Array:
+        rows = [r for t in tables if t for r in t]
+        vals = pa.array([v for r in rows for v in r], pa.string())
+        cells = pa.StructArray.from_arrays([vals, pa.array(np.ones(len(vals), np.int32))], ["val", "colspan"])
+        structs = pa.StructArray.from_arrays([pa.array(["body"] * len(rows), pa.string()), pa.ListArray.from_arrays(ends(map(len, rows)), cells)], ["row_type", "values"])
+        return pa.ListArray.from_arrays(ends(len(t or ()) for t in tables), structs, mask=pa.array([t is None for t in tables], pa.bool_()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            # Small files go on together, large ones by themselves.
+            tables, size, first = [], 0, 0
             for i, content in enumerate(batch.column("content")):
                 data = content.as_py()
-                rows = None if data is None else [{"row_type": "body", "values": [{"val": v, "colspan": 1} for v in r]} for r in parse(data, max_rows)]
-                yield pa.RecordBatch.from_arrays([batch.column("source_identifier").slice(i, 1), pa.array([rows], kind)], ["source_identifier", "rows"])
+                tables.append(None if data is None else parse(data, max_rows))
+                size += len(data or b"")
+                if size > TOGETHER or i == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([batch.column("source_identifier").slice(first, len(tables)), column(tables)], ["source_identifier", "rows"])
+                    tables, size, first = [], 0, i + 1
 
     parsed = files.select("source_identifier", F.col("content").cast("binary").alias("content")).mapInArrow(run, f"source_identifier {files.schema['source_identifier'].dataType.simpleString()}, rows {ROWS}")
     return parsed.select("source_identifier", F.lit("tabular").alias("source_type"), F.lit(0).alias("element_index"), F.lit("table").alias("el_type"), F.lit(None).cast("string").alias("text"), "rows")
