@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.checkpoints import cut
 from docloom.schemas import NOT_SPECIFIED
 
 
@@ -88,17 +89,28 @@ def merged(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: F.struct(x["line_item"].alias("line_item"), F.coalesce(x["value"], y["value"]).alias("value")))
 
 
-def number_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs of tables (id_a, id_b) with how many distinct number keys both have; inputs: id, keys.
+def number_overlap(a: DataFrame, b: DataFrame | None = None) -> DataFrame:
+    """Pairs of tables (id_a, id_b) with how many distinct number keys both have; inputs: id, keys. Without b the pairs of a's own tables, each once with id_a < id_b.
 
-    The result itself is as large as the pairs that share a number. Tables with equal sets of keys are compared once and named again at the end, so that
-    what is joined are distinct sets; a number that very many of these have is split by Spark where it is skewed.
+    The result itself is as large as the pairs that share a number. Tables with equal sets of keys are compared once, as numbers, and named again at the
+    end; a number that very many of these have is split by Spark where it is skewed.
     """
-    named = lambda d: d.select("id", F.array_sort(F.array_distinct("keys")).alias("_k")).where(F.size("_k") > 0).select("id", "_k", F.sha2(F.array_join(F.transform("_k", lambda k: k.cast("string")), ","), 256).alias("_s"))
-    sa, sb = named(a), named(b)
-    once = lambda d, name: d.dropDuplicates(["_s"]).select(F.col("_s").alias(name), F.explode("_k").alias("k"))
-    common = once(sa, "_sa").join(once(sb, "_sb"), "k").groupBy("_sa", "_sb").agg(F.count("*").alias("common"))
-    out = common.join(sa.select(F.col("id").alias("id_a"), F.col("_s").alias("_sa")), "_sa").join(sb.select(F.col("id").alias("id_b"), F.col("_s").alias("_sb")), "_sb")
+
+    def sides(d: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """The distinct sets' keys, and the tables that have a set."""
+        named = d.select("id", F.array_sort(F.array_distinct("keys")).alias("_k")).where(F.size("_k") > 0).select("id", "_k", F.sha2(F.array_join(F.transform("_k", lambda k: k.cast("string")), ","), 256).alias("_s"))
+        # Written, as numbers given by place must not change.
+        once = cut(named.dropDuplicates(["_s"]).select("_s", "_k", F.monotonically_increasing_id().alias(name)))
+        return once.select(name, F.explode("_k").alias("k")), named.select("id", "_s").join(once.select("_s", name), "_s").select("id", name)
+
+    keys, tables = sides(a, "_sa")
+    alone = b is None
+    keys2, tables2 = (d.withColumnRenamed("_sa", "_sb") for d in (keys, tables)) if alone else sides(b, "_sb")
+    met = keys.join(keys2, "k")
+    common = (met.where("_sa <= _sb") if alone else met).groupBy("_sa", "_sb").agg(F.count("*").alias("common"))
+    out = common.join(tables.withColumnRenamed("id", "id_a"), "_sa").join(tables2.withColumnRenamed("id", "id_b"), "_sb")
+    if alone:
+        out = out.where("_sa < _sb and id_a <> id_b or id_a < id_b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "common")
     return out.select("id_a", "id_b", "common")
 
 
